@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, words
+from .common import GAP, words, written
 
 #: Common words of each reference language.
 COMMON_WORDS = {
@@ -113,10 +113,9 @@ def _distance(bins: list[Column], total: Column, reference: list[Column]) -> Col
     return F.sqrt(F.greatest(out, F.lit(0.0)))
 
 
-def references(docs: DataFrame) -> dict[str, dict[str, int]]:
-    """Counts of both histograms over every document, by language: at most one row for each of
-    COMMON_WORDS and one for the rest, whatever the table's size."""
-    got = features(docs.select("lang", "text"))
+def references(got: DataFrame) -> dict[str, dict[str, int]]:
+    """Counts of both histograms over every row of features(), by language: at most one row for each
+    of COMMON_WORDS and one for the rest, whatever the table's size."""
     sums = [f"__c_{n}" for n in CLASSES] + [f"__w_{k}" for k in range(N_COMMON)] + ["__n_chars", "__n_words"]
     rows = got.groupBy("__lang").agg(*[F.sum(c).alias(c) for c in sums]).collect()
     return {r["__lang"]: {c: r[c] or 0 for c in sums} for r in rows}
@@ -131,9 +130,8 @@ def _shares(found: dict[str, dict[str, int]], names: list[str], total: str) -> d
     return out
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    found = references(docs)
-    got = features(docs)
+def _judged(got: DataFrame, found: dict[str, dict[str, int]]) -> DataFrame:
+    """features() with distances and verdict."""
 
     def column(shares, k):
         out = F.lit(None).cast("double")
@@ -156,13 +154,17 @@ def _judged(docs: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
     both distances where the length guards let them be judged, for every row of docs."""
-    got = _judged(docs.select(F.col("doc_id"), F.col("text"), F.col("lang")))
+    slim = features(docs.select("doc_id", "text", "lang"))
+    slim = written(slim.drop("text", "lang"))  # a row of counts a document; the texts are read once
+    got = _judged(slim, references(slim))
     return got.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], F.round("__d_class", 6).alias("class_distance"), F.round("__d_word", 6).alias("word_distance"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return _judged(docs).where("__kept").select(*docs.columns)
+    got = _judged(features(docs).withColumn("__row", F.monotonically_increasing_id()), references(features(docs.select("lang", "text"))))
+    # A row number that is drawn anew stops the optimizer from copying every feature into the filter.
+    return got.where(F.col("__kept") & (F.col("__row") >= 0)).select(*docs.columns)
 
 
 def oracle_sql() -> str:
