@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, etl, partitions  # noqa: F401  (they register their queries)
+from . import chains, diagnostics, etl, io, partitions  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -22,3 +22,15 @@ def local_session(name: str = "mapstats", cores: int | str = 8, shuffle_partitio
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names for checkpoints; a local one where none is named."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = tempfile.mkdtemp(prefix="mapstats-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
