@@ -163,7 +163,7 @@ def subtree_batches(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[
             for s in range(len(words) - window + 1):
                 leaf = b" ".join(words[s : s + window])
                 if leaf in nodes:
-                    if out and out[-1][:2] == (doc, th) and out[-1][3] == lo + s - 1:
+                    if out and out[-1][:2] == [doc, th] and out[-1][3] == lo + s - 1:
                         out[-1][3] += 1
                     else:
                         out.append([doc, th, lo + s, lo + s])
