@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +20,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Documents in an Arrow batch, unless the session asks for another number than Spark's default.
+BATCH = 2000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, wherever the driver found it."""
+    """Send this package to the executors once per application, wherever the driver found it. Batches of
+    texts are made smaller where the session leaves their size at Spark's default."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -53,6 +65,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mapstats-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what is now written go with their last reference
     atexit.register(discard, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mapstats_path = path
@@ -78,9 +92,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
-def fold_64(parts) -> int:
-    """Combine ints into one seed below 2**63."""
-    out = 1469598103934665603
-    for p in parts:
-        out = ((out ^ (p & 0xFFFFFFFF)) * 1099511628211) & 0x7FFFFFFFFFFFFFFF
-    return out
+def masked(docs: DataFrame, *used: str):
+    """docs with every column but those used under a name that clashes with none of an operator's own,
+    and a function that selects and names its columns as they were."""
+    names = docs.columns
+    short = [c if c in used else f"column{k}" for k, c in enumerate(names)]
+    return docs.toDF(*short), lambda df: df.select(*short).toDF(*names)
+
+
+def tidy(f):
+    """A function of batches that, at its end, gives memory it no longer uses back to the system; workers
+    are kept between tasks."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        yield from f(*args, **kwargs)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not a glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def sliced(batches, rows: int):
+    """The same record batches in slices of so many rows, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
