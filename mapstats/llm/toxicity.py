@@ -9,7 +9,7 @@ of the length, go through a logistic curve fitted to the same labels.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 4 is not 2 only; lang, source
 and doc_id are no inputs of a score. What is gathered on the driver is bounded by the lexicon
-(two counts a term) and by BINS (two counts a bin).
+(MOST_TERMS mined terms, two counts a term) and by BINS (two counts a bin).
 
 Defined results: a null or empty text has no hits and the score of such texts. A null doc_id
 is not held out and has no label. Rows are scored one by one, repeated rows and ids included;
@@ -21,6 +21,7 @@ of any name, are left out.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import ship, tidy, written
 
 #: The terms.
 TERMS = """idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns
@@ -48,6 +49,8 @@ LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i",
 }
 PRIOR = (1.5, -4.0, 4.0)  # a term's weight; intercept and slope of the curve
+SAMPLE = 20_000  # labelled rows, the least hashes of doc_id, from which terms are mined
+LEAST_DOCS, LEAST_ODDS, MOST_TERMS = 5, 2.5, 4000  # toxic documents and log-odds of a mined term; mined terms
 LENGTH = 400.0  # words at which the length begins to count
 BINS = 256
 WIDTH = 0.05
@@ -69,6 +72,9 @@ def _fold_table() -> dict[int, str]:
 FOLD = _fold_table()
 
 
+WORDS = re.compile(r"[^\W_]+")
+
+
 def fold(text: str) -> str:
     """The same number of characters, folded."""
     return text.translate(FOLD)
@@ -110,6 +116,7 @@ def matcher(terms: tuple[str, ...], exceptions: tuple[str, ...]) -> Matcher:
     return _matchers[terms, exceptions]
 
 
+@tidy
 def hit_batches(batches: Iterable[pa.RecordBatch], terms: tuple[str, ...], exceptions: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     m = matcher(terms, exceptions)
     for batch in batches:
@@ -129,6 +136,36 @@ def hits(docs: DataFrame, terms: list[str] = TERMS, exceptions: list[str] = EXCE
     return texts.mapInArrow(lambda b: hit_batches(b, t, e), "doc_id long, n_words long, hits map<int,int>")
 
 
+@tidy
+def word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded words, with the toxic and the other documents that have them, added up over a partition."""
+    bad: dict[str, int] = {}
+    good: dict[str, int] = {}
+    for batch in batches:
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            own = bad if toxic else good
+            for w in {fold(x) for x in WORDS.findall(text.as_py() or "")}:
+                own[w] = own.get(w, 0) + 1
+    every = [*bad, *(w for w in good if w not in bad)]
+    for at in range(0, len(every), 50_000):
+        part = every[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([bad.get(w, 0) for w in part], pa.int64()), pa.array([good.get(w, 0) for w in part], pa.int64())], names=["word", "bad", "good"])
+
+
+def mine(docs: DataFrame, gold: DataFrame) -> list[str]:
+    """Words that mark toxic documents, of a bounded sample of labelled rows."""
+    sample = gold.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
+    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not totals.get(0) or not totals.get(1):
+        return []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most SAMPLE ids
+    found = labelled.mapInArrow(word_batches, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("good") + 0.5) / (totals[0] + 1.0))
+    best = found.where((F.col("bad") >= LEAST_DOCS) & (F.length("word") > 2)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    return [r["word"] for r in best.orderBy(F.desc(F.col("odds") * F.col("bad")), "word").limit(MOST_TERMS).collect()]
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -157,8 +194,11 @@ def _logistic(bins: list[tuple[float, int, int]], ridge: float = 1.0) -> tuple[f
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, terms: list[str] = TERMS, exceptions: list[str] = EXCEPTIONS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text), learned from labels(doc_id, toxic)."""
-    found = written(hits(docs, terms, exceptions))  # a short row a document; the texts are read once
     gold = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    ship(docs.sparkSession)
+    known = {fold(t) for t in terms}
+    terms = [*terms, *(w for w in mine(docs, gold) if w not in known)]
+    found = written(hits(docs, terms, exceptions))  # a short row a document
     train = found.join(gold, "doc_id").select("n_words", "hits", "toxic")
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     weights = [PRIOR[0]] * len(terms)
