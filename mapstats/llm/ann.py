@@ -2,7 +2,7 @@
 
 Coarse centroids and codebooks are fitted on a sample of at most SAMPLE_BYTES of vectors (the
 least hashes of vec_id). Every vector is then indexed: its list, and the code of its residual.
-A query probes its nearest lists until it has met PROBES of them and enough rows; in each it
+A query probes PROBE_SHARE of all lists, nearest first, and more until it has met enough rows; in each it
 ranks the codes by asymmetric distance tables, and the best RERANK of all lists are measured
 exactly on the original vectors.
 
@@ -33,7 +33,8 @@ SAMPLE_BYTES = 32 << 20
 MAX_LISTS = 4096
 PARTS = 16
 WORDS = 256
-PROBES = 32
+LEAST_LISTS = 64
+PROBE_SHARE = 0.7  # vectors without clusters need most lists for a recall of 0.9
 LEAST_ROWS = 2000
 RERANK = 200
 PER_CELL = 40
@@ -106,11 +107,11 @@ def valid_vectors(vectors: DataFrame) -> tuple[DataFrame, int, int]:
 def fit(v: DataFrame, dim: int, n: int, lists: int | None = None, parts: int = PARTS) -> Index:
     size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
     rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
-    lists = lists or max(1, min(MAX_LISTS, round(n**0.5), size // 16))
+    lists = lists or max(1, min(MAX_LISTS, max(LEAST_LISTS, round(n**0.5 / 8)), n // 4, size // 16))
     return Index(_matrix(rows.column("embedding"), dim), lists, parts)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES, rerank: int = RERANK, lists: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: float = PROBE_SHARE, rerank: int = RERANK, lists: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest found."""
     spark = vectors.sparkSession
     ship(spark)
@@ -141,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PROB
             x = _matrix(b.column("embedding"), dim)
             order = np.argsort(((shared.value.centres**2).sum(axis=1) - 2 * x @ shared.value.centres.T), axis=1, kind="stable")
             met = np.cumsum(rows[order], axis=1) - rows[order]
-            keep = (rows[order] > 0) & ((np.arange(width) < probes) | (met < enough))
+            keep = (rows[order] > 0) & ((np.arange(width) < probes * width) | (met < enough))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([o[f].astype(np.int32) for o, f in zip(order, keep, strict=True)], pa.list_(pa.int32()))], names=["query_id", "vector", "lists"])
 
     queries = written(v.where(is_query).mapInArrow(probe, "query_id long, vector array<double>, lists array<int>"))
