@@ -12,7 +12,7 @@ character classes of all such documents together, and not by words. Ties, repeat
 and repeated ids are judged row by row, though each row counts in the references. A
 reference with no characters or words sets no limit. An empty table gives an empty table.
 quality_rules() returns only its own columns, so other columns of any name don't clash;
-keep() returns the columns it was given, and takes its helper names where none clashes.
+keep() returns the columns it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, words, written
+from .common import GAP, masked, words, written
 
 #: Common words of each reference language.
 COMMON_WORDS = {
@@ -162,9 +162,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    got = _judged(features(docs).withColumn("__row", F.monotonically_increasing_id()), references(features(docs.select("lang", "text"))))
+    plain, back = masked(docs, "text", "lang")
+    got = _judged(features(plain).withColumn("__row", F.monotonically_increasing_id()), references(features(docs.select("lang", "text"))))
     # A row number that is drawn anew stops the optimizer from copying every feature into the filter.
-    return got.where(F.col("__kept") & (F.col("__row") >= 0)).select(*docs.columns)
+    return back(got.where(F.col("__kept") & (F.col("__row") >= 0)))
 
 
 def oracle_sql() -> str:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import masked, ship, tidy, written
 from .hashing import U, by_key, grams, mix, signed, word_hashes
 
 WINDOW = 20
@@ -62,6 +62,7 @@ def _ranges(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)
 
 
+@tidy
 def anchor_batches(batches: Iterable[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Rows (g, doc, th, a, b): an anchor at word a (b is -1), or repeats that start at words a to b."""
     for batch in batches:
@@ -122,6 +123,7 @@ def prefix_batches(batches: Iterable[pa.RecordBatch], group: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, th, a, np.where(times > group, -2, b))], names=["doc", "th", "a", "b"])
 
 
+@tidy
 def suffix_batches(batches: Iterable[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Of each document's anchors, the words of the windows they are the anchor of: key, doc, th, lo, words."""
     for batch in batches:
@@ -147,6 +149,7 @@ def suffix_batches(batches: Iterable[pa.RecordBatch], window: int, prefix: int)
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["key", "doc", "th", "lo", "words"])
 
 
+@tidy
 def subtree_batches(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Repeats, as (doc, th, a, b), of groups whose rows come sorted by key, doc, th and lo."""
     key, last = None, None
@@ -231,6 +234,7 @@ def digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
 
 def deduped(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """The same rows and columns without the repeats."""
+    docs, back = masked(docs, "doc_id", "text")
     schema = docs.schema
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,4 +250,4 @@ def deduped(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
             arrays[k] = pa.array(out, arrays[k].type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return _with_spans(docs, window, **options).mapInArrow(rows, schema)
+    return back(_with_spans(docs, window, **options).mapInArrow(rows, schema))

@@ -45,6 +45,9 @@ def test_empty_and_nulls(spark):
     docs = spark.createDataFrame([(None, None, None)], "doc_id long, text string, lang string")
     assert [r.kept for r in Q.quality_rules(docs).collect()] == [False]
     assert Q.keep(docs).columns == docs.columns
+    text = " ".join(f"the {chr(97 + i % 26)}{chr(97 + i // 26)}x of" for i in range(60))
+    clash = spark.createDataFrame([(1, text, "en", "a", 7), (2, "x", "en", "b", 8)], "doc_id long, text string, lang string, __words string, __kept int")
+    assert [tuple(r) for r in Q.keep(clash).collect()] == [(1, text, "en", "a", 7)]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])
