@@ -27,12 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, sliced, tidy
 
 #: The pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker keeps of pre-tokens already encoded; then it starts afresh.
-CACHE = 200_000
+CACHE = 100_000
+ROWS = 500  # documents whose ids are held at once
 PIECE = 1_000_000
 
 
@@ -161,7 +162,7 @@ class Bpe:
                 bound, x = rx, self.halves[x][1]
             else:
                 bound, y = ry + 1, self.halves[y][0]
-        if len(self._fits) >= 4 * CACHE:
+        if len(self._fits) >= 2 * CACHE:
             self._fits.clear()
         self._fits[key] = ok
         return ok
@@ -263,6 +264,7 @@ class _Codes(dict):
         return code
 
 
+@tidy
 def count_batches(batches: Iterable[pa.RecordBatch], source: str, limit: int) -> Iterator[pa.RecordBatch]:
     bpe = tables(source)
     counts = bpe.__dict__.setdefault("counts", _Counts(bpe))
@@ -275,11 +277,12 @@ def count_batches(batches: Iterable[pa.RecordBatch], source: str, limit: int) ->
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
+@tidy
 def code_batches(batches: Iterable[pa.RecordBatch], source: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = tables(source)
     codes = bpe.__dict__.setdefault("codes", _Codes(bpe))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    for batch in batches:
+    for batch in sliced(batches, ROWS):
         n, ids_digest, text_digest, kept = [], [], [], []
         for text in batch.column("text"):
             code = b"".join(np.uint32(p).astype("<u4").tobytes() if isinstance(p, int) else b"".join(map(codes.__getitem__, p)) for p in bpe.pieces(text.as_py() or ""))

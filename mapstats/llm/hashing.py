@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 U = np.uint64
 
 
