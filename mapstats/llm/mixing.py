@@ -24,12 +24,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import masked, words, written
 
 MAX_BLOCKS = 1 << 15
 LEAST_BLOCK = 1 << 14  # words
 MAX_SHARDS = 4096
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 20
 SEED = 20
 CAP = 3.0
 
@@ -147,6 +147,8 @@ def plan(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFr
 def mixed(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mix itself: documents repeated as often as they are taken, dealt to their shards, each
     shard shuffled; a document taken in part has that many of its words."""
+    kinds = docs.schema
+    docs, back = masked(docs, "doc_id", "source", "text", "n_chars")
     got, n = _planned(_sized(docs), _sized(docs, *docs.columns), shards, seed)
     whole = F.transform("__shards", lambda s: F.struct(s.alias("shard"), F.lit(None).cast("long").alias("part")))
     part = F.array(F.struct(F.col("__cut_shard").alias("shard"), F.col("__cut").alias("part")))
@@ -155,5 +157,6 @@ def mixed(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataF
     short = F.coalesce(F.col("__take.part") < F.col("__size"), F.lit(False))
     rows = rows.withColumn("text", F.when(short, F.array_join(F.slice(words(F.col("text")), 1, F.col("__take.part").cast("int")), " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.repartition(n, F.col("__take.shard")).sortWithinPartitions("__take.shard", _hash(seed + 2, F.col("__id"), F.col("__take.shard")), "__id", "__text").select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(short, F.length("text").cast(kinds["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    dealt = rows.repartition(n, F.col("__take.shard"))
+    return back(dealt.sortWithinPartitions("__take.shard", _hash(seed + 2, F.col("__id"), F.col("__take.shard")), "__id", "__text"))

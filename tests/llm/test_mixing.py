@@ -67,5 +67,7 @@ def test_plan_and_mix(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.plan(docs).count() == 0 and M.mixed(docs).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "s", "x", 5)], "doc_id long, text string, source string, __take string, __full int")
+    assert [tuple(r) for r in M.mixed(clash).collect()] == [(1, "a b", "s", "x", 5)]
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken, r.target) for r in M.plan(docs).collect()] == [(0, 0, 0.0)] * 2
