@@ -13,10 +13,11 @@ more than one of FREQUENT of its documents. The class only steers the cost. It h
 MAX_FREQUENT tokens, so it can be broadcast.
 
 Rows of a bucket carry the size of the set and 16 counts of its tokens by hash; sizes and
-counts exclude pairs that cannot reach the threshold. Of the others, each document first
+counts exclude pairs that cannot reach the threshold; a digest excludes pairs of equal sets. Of the others, each document first
 takes its nearest two; these are verified on the words themselves and joined to components.
-Buckets with pairs left over are gone through again, and every pair between different
-components is verified. So no link between different components is lost, and pairs within
+Buckets with pairs left over are gone through again with SKETCH counts in place of 16: first
+each document's nearest of other components, then every pair that is left open between
+different components, is verified. So no link between different components is lost, and pairs within
 large groups are not listed. Exact copies of a set meet by its digest.
 
 Defined results: an empty set (null text, no words) links with nothing. Fewer words than a
@@ -33,10 +34,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import masked, ship, sliced, tidy, written
 from .components import components
 from .hashing import U, by_key, mix, shingle_set, shingles, signed
 
@@ -46,6 +48,8 @@ LONG = 128
 BLOCK = 4096
 NEAREST = 2
 BINS = 16
+ROWS = 2500  # documents whose sets are held at once
+SKETCH = 256  # finer counts, for pairs that these leave open
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -67,9 +71,10 @@ def _first(batch: pa.RecordBatch, sets: list[np.ndarray]) -> list[int]:
     return out
 
 
+@tidy
 def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row a document, and rows (token, times) for what is frequent in the batch."""
-    for batch in batches:
+    for batch in sliced(batches, ROWS):
         sets = _sets(batch, k)
         rows = _first(batch, sets)
         token, times = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
@@ -85,15 +90,16 @@ def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Recor
                 pa.array([*(_digest(s) if len(s) else None for s in sets), *[None] * m], pa.binary()),
                 pa.array([None] * n + signed(token).tolist(), pa.int64()),
                 pa.array([None] * n + times.tolist(), pa.int64()),
+                pa.array([*(_signature(x, SKETCH).tobytes() if len(x) else None for x in sets), *[None] * m], pa.binary()),
             ],
-            names=["doc_id", "n", "digest", "token", "times"],
+            names=["doc_id", "n", "digest", "token", "times", "sketch"],
         )
 
 
-def _signature(tokens: np.ndarray) -> np.ndarray:
+def _signature(tokens: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Tokens by the low bits of their hash, counted up to 255. The counts of two sets differ by no
     more, in sum, than the sets do."""
-    return np.minimum(np.bincount((tokens & U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((tokens & U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
 
 
 def needed(n: int, percent: int) -> int:
@@ -101,11 +107,12 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+@tidy
 def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequent: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """key, doc_id, n and signature of every row of the index. frequent is sorted; shares: blocks of each."""
-    for batch in batches:
+    """key, doc_id, n, signature and digest of every row of the index. frequent is sorted; shares: blocks of each."""
+    for batch in sliced(batches, ROWS):
         sets = _sets(batch, k)
-        keys, docs, sizes, signs = [], [], [], []
+        keys, docs, sizes, signs, equal = [], [], [], [], []
         ids = batch.column("doc_id")
         for i in _first(batch, sets):
             s = sets[i]
@@ -126,10 +133,11 @@ def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequ
             keys.append(own)
             docs.append(np.full(len(own), doc, dtype=np.int64))
             sizes.append(np.full(len(own), n, dtype=np.int64))
+            equal.append(np.full(len(own), np.frombuffer(_digest(s)[:8], dtype=np.int64)[0]))
             signs.append(np.broadcast_to(_signature(s).view(np.int64), (len(own), 2)))
         if keys:
             sign = np.concatenate(signs)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes)), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy())], names=["key", "doc_id", "n", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes)), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), pa.array(np.concatenate(equal))], names=["key", "doc_id", "n", "s0", "s1", "digest"])
 
 
 def _dealt(keys: np.ndarray, blocks: np.ndarray, doc: int) -> np.ndarray:
@@ -144,72 +152,113 @@ def _dealt(keys: np.ndarray, blocks: np.ndarray, doc: int) -> np.ndarray:
     return mix(np.array(out, dtype=U))
 
 
-def _survivors(t: pa.Table, percent: int, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _survivors(t: pa.Table, percent: int, group: np.ndarray, sign: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers (i, j) of pairs of one bucket that may reach the threshold, and how their counts
-    differ. Rows come sorted by key and n. With labels: only pairs of different ones."""
-    key, n, doc = (t.column(c).to_numpy() for c in ("key", "n", "doc_id"))
-    sign = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], axis=1).view(np.uint8).astype(np.int16)
+    differ, piece by piece; i is in a piece once. Rows come sorted by key and n; only pairs of different
+    groups count."""
+    key, n = (t.column(c).to_numpy() for c in ("key", "n"))
     i = np.flatnonzero(key[1:] == key[:-1]) + 1
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = 1
     while len(i):
         i = i[i >= step]
         j = i - step
         ok = (key[i] == key[j]) & (100 * n[j] >= percent * n[i])  # once false, also for every larger step
         i, j = i[ok], j[ok]
-        apart = doc[i] != doc[j] if label is None else label[i] != label[j]
+        apart = group[i] != group[j]
         x, y = i[apart], j[apart]
-        for c in range(0, len(x), 1 << 16):
-            a, b = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
-            gap = np.abs(sign[a] - sign[b]).sum(axis=1)
+        piece = (1 << 20) // sign.shape[1]
+        for c in range(0, len(x), piece):
+            a, b = x[c : c + piece], y[c : c + piece]
+            gap = np.abs(sign[a].astype(np.int16) - sign[b]).sum(axis=1, dtype=np.int64)
             # |x^y| <= (|x|+|y|) (1-t)/(1+t)
             close = gap * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
             if close.any():
-                found.append((a[close], b[close], gap[close]))
+                yield a[close], b[close], gap[close]
         step += 1
-    if not found:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z
-    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
+def _pairs(doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    apart = doc[i] != doc[j]
+    i, j = i[apart], j[apart]
+    return np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1), axis=0)
+
+
+def _mates(t: pa.Table, percent: int, group: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents: of each row, the NEAREST earlier rows of its bucket that differ least. And how
+    many rows there are for each row that may link at all."""
+    m = len(t)
+    gaps, mates, met = np.full((m, NEAREST), np.iinfo(np.int64).max), np.full((m, NEAREST), -1), np.zeros(m, dtype=np.int64)
+    for i, j, gap in _survivors(t, percent, group, sign):
+        met[i] += 1
+        for k in range(NEAREST):  # the new one pushes down those it is nearer than
+            nearer = gap < gaps[i, k]
+            row, old_gap, old_mate = i[nearer], gaps[i, k].copy(), mates[i, k].copy()
+            gaps[row, k], mates[row, k] = gap[nearer], j[nearer]
+            gap, j = np.where(nearer, old_gap, gap), np.where(nearer, old_mate, j)
+    i, k = np.nonzero(mates >= 0)
+    return _pairs(t.column("doc_id").to_numpy(), i, mates[i, k]), met
+
+
+@tidy
 def nearest_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of each document and its nearest earlier ones; the rows of buckets with more pairs."""
-    names = ["a", "b", "key", "doc_id", "n", "s0", "s1"]
+    names = ["a", "b", "key", "doc_id", "n"]
+    nulls = lambda c: pa.nulls(c, pa.int64())
     for t in by_key(batches, "key"):
-        i, j, gap = _survivors(t, percent, None)
-        if not len(i):
+        sign = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], axis=1).view(np.uint8)
+        pairs, met = _mates(t, percent, t.column("digest").to_numpy(), sign)
+        if not met.any():
             continue
-        order = np.lexsort((j, gap, i))
-        i, j = i[order], j[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        near = place < NEAREST
-        key, doc = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
-        more = np.flatnonzero(np.isin(key, key[i[~near]]))
-        a, b = np.minimum(doc[i], doc[j])[near], np.maximum(doc[i], doc[j])[near]
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        rest = t.take(pa.array(more)).combine_chunks()
-        nulls = lambda c: pa.nulls(c, pa.int64())
-        cols = [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *[nulls(len(pairs))] * 5]
-        yield pa.RecordBatch.from_arrays(cols, names=names)
-        if len(more):
-            for piece in rest.to_batches():
-                yield pa.RecordBatch.from_arrays([nulls(len(piece)), nulls(len(piece)), *[piece.column(c) for c in names[2:]]], names=names)
-
-
-def between_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of a bucket that may link and have different labels."""
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *[nulls(len(pairs))] * 3], names=names)
+        key = t.column("key").to_numpy()
+        more = np.isin(key, key[met > NEAREST])
+        for piece in t.filter(pa.array(more)).combine_chunks().to_batches() if more.any() else ():
+            yield pa.RecordBatch.from_arrays([nulls(len(piece)), nulls(len(piece)), *[piece.column(c) for c in names[2:]]], names=names)
+
+
+@tidy
+def between_batches(batches: Iterable[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket that may link and have different labels: every one, or each row's nearest."""
     for t in by_key(batches, "key"):
-        i, j, _ = _survivors(t, percent, t.column("label").to_numpy())
-        if len(i):
-            doc = t.column("doc_id").to_numpy()
-            pairs = np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1), axis=0)
+        doc, label = t.column("doc_id").to_numpy(), t.column("label").to_numpy()
+        sign = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(t), SKETCH)
+        found = (_pairs(doc, i, j) for i, j, _ in _survivors(t, percent, label, sign)) if every else [_mates(t, percent, label, sign)[0]]
+        for pairs in found:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
+@tidy
+def pack_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as pairs carry them twice."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [None if t is None else packer.compress(t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "text"])
+
+
+def sketch_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that finer counts leave possible."""
+    for batch in batches:
+        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        ok = np.ones(len(batch), dtype=bool)
+        for at in range(0, len(batch), 1 << 12):
+            x, y = (np.frombuffer(b"".join(batch.column(c).slice(at, 1 << 12).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
+            part = slice(at, at + len(x))
+            ok[part] = np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (na[part] + nb[part]) * (100 - percent)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+
+
+def _possible(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    one = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: sketch_batches(x, percent), "a long, b long").distinct()
+
+
+@tidy
 def verify_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links among pairs; rows (a, b, doc_id, text) sorted by a and b. Texts of one id each count."""
     at, left, right = None, [], []
+    unpacker = zstandard.ZstdDecompressor()
 
     def linked() -> bool:
         return any(100 * len(x & y) >= percent * len(x | y) for x in left for y in right if x and y)
@@ -222,7 +271,7 @@ def verify_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> I
                 if at and linked():
                     out.append(at)
                 at, left, right = (a, b), [], []
-            s = shingle_set(text, k)
+            s = shingle_set(None if text is None else unpacker.decompress(text).decode(), k)
             (left if doc == a else right).append(s)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
     if at and linked():
@@ -256,29 +305,36 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ship(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(texts.mapInArrow(lambda b: node_batches(b, k), "doc_id long, n long, digest binary, token long, times long"))
+    found = written(texts.mapInArrow(lambda b: node_batches(b, k), "doc_id long, n long, digest binary, token long, times long, sketch binary"))
     shared = spark.sparkContext.broadcast(frequent_class(found))  # at most MAX_FREQUENT tokens
-    nodes = found.where("token IS NULL").select("doc_id", "n", "digest")
+    nodes = found.where("token IS NULL").select("doc_id", "n", "digest", "sketch")
 
-    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), "key long, doc_id long, n long, s0 long, s1 long")
-    first = written(index.repartition(F.col("key")).sortWithinPartitions("key", "n", "doc_id").mapInArrow(lambda b: nearest_batches(b, percent), "a long, b long, key long, doc_id long, n long, s0 long, s1 long"))
+    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), "key long, doc_id long, n long, s0 long, s1 long, digest long")
+    first = written(index.repartition(F.col("key")).sortWithinPartitions("key", "n", "doc_id").mapInArrow(lambda b: nearest_batches(b, percent), "a long, b long, key long, doc_id long, n long"))
     pairs = first.where("a IS NOT NULL").select("a", "b").distinct()
     # Equal sets meet at the least id of their digest; what the index found is about other sets.
     least = nodes.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     copies = written(nodes.where("doc_id IS NOT NULL").join(least, "digest", "left").select("doc_id", "least").where("least <> doc_id").distinct())
     equal = copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    links = written(_verified(texts, pairs, k, percent).unionByName(equal))
+    rest = first.where("key IS NOT NULL").select("key", "doc_id", "n")
+    # Texts and sketches move once; what follows reads those of documents that are in some pair.
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(rest.select("doc_id")).distinct())
+    texts = written(texts.join(named, "doc_id", "left_semi").mapInArrow(pack_batches, "doc_id long, text binary"))
+    sketches = written(nodes.where("sketch IS NOT NULL").join(named, "doc_id", "left_semi").select("doc_id", "n", "sketch").distinct())
+    links = written(_verified(texts, _possible(sketches, pairs, percent), k, percent).unionByName(equal))
     label = components(links)
-
-    rest = first.where("key IS NOT NULL").select("key", "doc_id", "n", "s0", "s1")
-    if not rest.isEmpty():
-        named = rest.join(label, rest["doc_id"] == label["node"], "left").select("key", "doc_id", "n", "s0", "s1", F.coalesce("component", "doc_id").alias("label"))
-        dealt = named.repartition(F.col("key")).sortWithinPartitions("key", "n", "doc_id")
-        between = written(dealt.mapInArrow(lambda b: between_batches(b, percent), "a long, b long").distinct())
+    tried = pairs
+    for every in (False, True) if not rest.isEmpty() else ():
+        open_ = rest.join(label, rest["doc_id"] == label["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+        # Most buckets hold one component by now and need no second look.
+        mixed = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        dealt = open_.join(mixed, "key").join(sketches, ["doc_id", "n"]).repartition(F.col("key")).sortWithinPartitions("key", "n", "doc_id")
+        found = dealt.mapInArrow(lambda b, every=every: between_batches(b, percent, every), "a long, b long")
+        between = written(found.distinct().join(tried, ["a", "b"], "left_anti"))
         if not between.isEmpty():
-            more = _verified(texts, between.join(pairs, ["a", "b"], "left_anti"), k, percent)
-            links = written(links.unionByName(more))
+            links = written(links.unionByName(_verified(texts, _possible(sketches, between, percent), k, percent)))
             label = components(links)
+            tried = tried.unionByName(between)
     label = written(label)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     out = nodes.join(label, nodes["doc_id"] == label["node"], "left").drop("node").join(degree, nodes["doc_id"] == degree["node"], "left")
@@ -289,4 +345,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one of least doc_id, with the columns it came with. Rows
     repeated under that id are that document and stay; so do rows without an id."""
     gone = join(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    plain, back = masked(docs, "doc_id")
+    return back(plain.join(gone, plain["doc_id"].cast("long") == gone["__gone"], "left_anti"))

@@ -45,7 +45,7 @@ def corpus(seed, n=220):
 
 @pytest.mark.parametrize(("k", "percent", "frequent", "long", "block"), [(3, 90, 512, 128, 4096), (5, 80, 8, 128, 4096), (3, 90, 8, 30, 16), (2, 60, 4, 20, 8)])
 def test_components_equal_brute_force(spark, monkeypatch, k, percent, frequent, long, block):
-    for name, value in (("FREQUENT", frequent), ("LONG", long), ("BLOCK", block), ("NEAREST", 1)):
+    for name, value in (("FREQUENT", frequent), ("LONG", long), ("BLOCK", block)):
         monkeypatch.setattr(N, name, value)
     rows = corpus(k * 100 + percent)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(3)
@@ -59,6 +59,8 @@ def test_components_equal_brute_force(spark, monkeypatch, k, percent, frequent,
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert N.join(docs).count() == 0 and N.keep_one(docs).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 3, "x"), (2, "a b", 4, "y")], "doc_id long, text string, __gone long, component_id string")
+    assert [tuple(r) for r in N.keep_one(clash).collect()] == [(1, "a b", 3, "x")]
 
 
 def test_hashes_agree_with_words():
