@@ -141,15 +141,17 @@ def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequ
 
 
 def _dealt(keys: np.ndarray, blocks: np.ndarray, doc: int) -> np.ndarray:
-    """Keys of a bucket's pairs of blocks that the document's own block is in."""
-    if not len(keys) or blocks.max() <= 1:
+    """Keys of a bucket's pairs of blocks that the document's own block is in. A bucket of one block keeps
+    its key whatever else the document holds, as its other documents do."""
+    one = blocks <= 1
+    if one.all():
         return keys
     out = []
     h = int(mix(np.array([doc & 0xFFFFFFFFFFFFFFFF], dtype=U))[0])
-    for key, b in zip(keys.tolist(), blocks.tolist(), strict=True):
+    for key, b in zip(keys[~one].tolist(), blocks[~one].tolist(), strict=True):
         own = h % b
         out += [(key + 0x9E3779B97F4A7C15 * (1 + min(own, j) * b + max(own, j))) & 0xFFFFFFFFFFFFFFFF for j in range(b)]
-    return mix(np.array(out, dtype=U))
+    return np.concatenate([keys[one], mix(np.array(out, dtype=U))])
 
 
 def _survivors(t: pa.Table, percent: int, group: np.ndarray, sign: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

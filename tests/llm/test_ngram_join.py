@@ -63,6 +63,29 @@ def test_empty(spark):
     assert [tuple(r) for r in N.keep_one(clash).collect()] == [(1, "a b", 3, "x")]
 
 
+def test_one_block_keys_meet_beside_many_block_keys():
+    one, two = np.array([5], dtype=N.U), np.array([5, 9], dtype=N.U)
+    alone, beside = N._dealt(one, np.array([1]), 1), N._dealt(two, np.array([1, 3]), 2)
+    assert len(alone) == 1 and len(beside) == 1 + 3
+    assert set(alone.tolist()) & set(beside.tolist())
+
+
+def test_links_whose_prefixes_straddle_a_block():
+    """Of two long documents with prefixes of frequent tokens, one has a token of many blocks in its own."""
+    vocab = [f"w{i}" for i in range(140)]
+    least = int(N.shingles(" ".join(vocab), 1)[1])
+    other = next(w for w in (f"x{i}" for i in range(10**5)) if int(N.shingles(w + " w0", 1).min()) < least and w not in vocab)
+    texts = [" ".join(vocab), " ".join([*vocab[1:], other])]
+    one, two = (N.shingles(t, 1) for t in texts)
+    assert 100 * len(np.intersect1d(one, two)) >= 90 * len(np.union1d(one, two))
+    frequent = np.union1d(one, two)
+    (many,) = np.setdiff1d(two, one)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    (out,) = N.index_batches([batch], 1, 90, frequent, np.where(frequent == many, 3, 1))
+    keys = {i: {k for k, d in zip(out.column("key").to_pylist(), out.column("doc_id").to_pylist(), strict=True) if d == i} for i in (1, 2)}
+    assert keys[1] & keys[2]
+
+
 def test_hashes_agree_with_words():
     r = random.Random(4)
     for _ in range(200):
