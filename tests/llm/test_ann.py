@@ -43,6 +43,31 @@ def test_recall_and_ties(spark):
             assert [i for _, i in got[q]] == [i for i in range(11) if i != q][:10]
 
 
+def test_near_copies_that_share_codes(spark):
+    """However few rows are measured at once, all lists probed give the nearest of all."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2000, 64))
+    x[:800] = x[0] + 0.001 * r.normal(size=(800, 64))
+    data = [(i, np.float32(v).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got, want = found(ann.search(df, F.col("vec_id") % 100 == 0, probes=1.0, rerank=10)), brute(data, 10, 100)
+    assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+def test_closest_equals_brute_force():
+    r = np.random.default_rng(6)
+    for k, block in ((1, 1), (5, 3), (10, 200)):
+        vectors = r.integers(0, 3, size=(150, 4)).astype(float)
+        ids, x = r.integers(0, 60, size=150), r.normal(size=4)
+        d = np.sqrt(((vectors - x) ** 2).sum(axis=1))
+        best, far = ann.closest(x, ids, vectors, d - 0.5 * r.random(150), k, block)
+        least = {}
+        for i, y in zip(ids.tolist(), d.tolist(), strict=True):
+            least[i] = min(y, least.get(i, y))
+        want = sorted((round(y, 9), i) for i, y in least.items())[:k]
+        assert [(round(y, 9), i) for i, y in zip(best.tolist(), far.tolist(), strict=True)] == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7])
 def test_small_and_bad_vectors(spark, n):
     data = rows(n) + [(100, None), (None, [1.0] * 16), (102, [0.0] * 16), (103, [float("nan")] * 16), (104, [None] + [1.0] * 15), (105, [float("inf")] * 16), (106, [])]
