@@ -4,21 +4,29 @@ Tokens are hashes of word shingles in one global order: rare ones first, then th
 frequent class, each by hash. A document with n tokens that must share at least a of them
 with a partner has a prefix of n - a + 1 tokens, and one of n - a + 2 in which partners share
 two. So it suffices to index single rare tokens of the first and combinations of two frequent
-tokens of the second. Documents over LONG tokens, whose combinations would be many, index
-their frequent tokens alone (around LONG both ways, so that no pair falls between). Tokens so
-frequent that a bucket would pass BLOCK rows are dealt in pairs of blocks.
+tokens of the second. Documents over LONG tokens, whose combinations would outgrow their
+texts, index their frequent tokens alone (around LONG both ways, so that no pair falls between).
 
 Which tokens are frequent is counted over all documents: each batch reports the tokens in
 more than one of FREQUENT of its documents. The class only steers the cost. It holds at most
 MAX_FREQUENT tokens, so it can be broadcast.
 
-Rows of a bucket carry the size of the set and 16 counts of its tokens by hash; sizes and
-counts exclude pairs that cannot reach the threshold; a digest excludes pairs of equal sets. Of the others, each document first
-takes its nearest two; these are verified on the words themselves and joined to components.
-Buckets with pairs left over are gone through again with SKETCH counts in place of 16: first
-each document's nearest of other components, then every pair that is left open between
-different components, is verified. So no link between different components is lost, and pairs within
-large groups are not listed. Exact copies of a set meet by its digest.
+1. Buckets. Rows of a bucket carry the size of the set and 16 counts of its tokens by hash;
+   sizes and counts exclude pairs that cannot reach the threshold. What leaves a bucket is not
+   pairs but its rows that have some partner left, each once, so a bucket gives no more rows
+   than it holds, and of a large group each row stops at its first partner. Copies of a set
+   are one row.
+2. First round. Each of those documents goes, with its text, to one of its buckets, the one
+   of least key, as near copies mostly agree on it. There the sets are verified, and what
+   leaves is a spanning forest of the links; connected components name the documents.
+3. Second round. Buckets whose documents have different names are gone through again, with
+   finer counts; rows with a partner of another name, that no first round compared them with, get
+   their tokens, are verified, and again only a forest leaves. So no link between components is
+   lost, and nothing lists the pairs within a group.
+
+A bucket of over BLOCK rows is cut into blocks by a hash of the set. A row that finds no
+partner in its own block is shown to all others; of a large group hardly any is. Sets are
+compared by 64-bit hashes of their shingles.
 
 Defined results: an empty set (null text, no words) links with nothing. Fewer words than a
 shingle form one shingle. A null doc_id links with nothing and has a null component. Rows
@@ -30,53 +38,64 @@ its input.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import masked, ship, sliced, tidy, written
 from .components import components
-from .hashing import U, by_key, mix, shingle_set, shingles, signed
+from .hashing import U, by_key, mix, shingles, signed
 
 FREQUENT = 512
 MAX_FREQUENT = 1 << 18
 LONG = 128
 BLOCK = 4096
-NEAREST = 2
+TOKENS = 1 << 21  # tokens of the sets that are verified together
 BINS = 16
+SKETCH = 256
 ROWS = 2500  # documents whose sets are held at once
-SKETCH = 256  # finer counts, for pairs that these leave open
-
-
-def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
-    return [shingles(x.as_py(), k) for x in batch.column("text")]
+GOLD = 0x9E3779B97F4A7C15
 
 
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _first(batch: pa.RecordBatch, sets: list[np.ndarray]) -> list[int]:
-    """Rows with a doc_id and two or more tokens, the first of each set; one token has only equal partners."""
-    seen, out = set(), []
-    valid = batch.column("doc_id").is_valid().to_pylist()
-    for i, s in enumerate(sets):
-        if valid[i] and len(s) > 1 and (d := _digest(s)) not in seen:
-            seen.add(d)
-            out.append(i)
-    return out
+def _signature(tokens: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Tokens by the low bits of their hash, counted up to 255. The counts of two sets differ by no
+    more, in sum, than the sets do."""
+    return np.minimum(np.bincount((tokens & U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def _short(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _first(batch: pa.RecordBatch, sets: list[np.ndarray], digests: list[bytes | None]) -> list[int]:
+    """Of each set of two or more tokens (one alone has only equal partners), the row of least doc_id."""
+    least: dict[bytes, tuple[int, int]] = {}
+    for i, (doc, d) in enumerate(zip(batch.column("doc_id").to_pylist(), digests, strict=True)):
+        if doc is not None and len(sets[i]) > 1 and (d not in least or doc < least[d][0]):
+            least[d] = (doc, i)
+    return sorted(i for _, i in least.values())
+
+
+def _sets(batch: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], list[bytes | None]]:
+    sets = [shingles(x.as_py(), k) for x in batch.column("text")]
+    return sets, [_digest(s) if len(s) else None for s in sets]
 
 
 @tidy
 def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row a document, and rows (token, times) for what is frequent in the batch."""
+    """A row a document, and rows (token, times) of what is frequent in the slice."""
     for batch in sliced(batches, ROWS):
-        sets = _sets(batch, k)
-        rows = _first(batch, sets)
+        sets, digests = _sets(batch, k)
+        rows = _first(batch, sets, digests)
         token, times = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
         if rows:
             token, times = np.unique(np.concatenate([sets[i] for i in rows]), return_counts=True)
@@ -87,19 +106,23 @@ def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Recor
             [
                 pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]),
                 pa.array([*map(len, sets), *[None] * m], pa.int64()),
-                pa.array([*(_digest(s) if len(s) else None for s in sets), *[None] * m], pa.binary()),
+                pa.array([*digests, *[None] * m], pa.binary()),
+                pa.array([*(_short(d) if d else None for d in digests), *[None] * m], pa.int64()),
                 pa.array([None] * n + signed(token).tolist(), pa.int64()),
                 pa.array([None] * n + times.tolist(), pa.int64()),
-                pa.array([*(_signature(x, SKETCH).tobytes() if len(x) else None for x in sets), *[None] * m], pa.binary()),
+                pa.array([*(_signature(s, SKETCH).tobytes() if len(s) > 1 else None for s in sets), *[None] * m], pa.binary()),
             ],
-            names=["doc_id", "n", "digest", "token", "times", "sketch"],
+            names=["doc_id", "n", "digest", "short", "token", "times", "sketch"],
         )
 
 
-def _signature(tokens: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Tokens by the low bits of their hash, counted up to 255. The counts of two sets differ by no
-    more, in sum, than the sets do."""
-    return np.minimum(np.bincount((tokens & U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+@tidy
+def pack_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they move."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [packer.compress((t.as_py() or "").encode()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc", "text"])
 
 
 def needed(n: int, percent: int) -> int:
@@ -107,240 +130,340 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+INDEX = "key long, base long, blocks int, doc long, digest long, n long, s0 long, s1 long"
+
+
+def _in_block(base: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The key of a bucket's block."""
+    return mix(base + (own.astype(U) + U(1)) * U(GOLD))
+
+
 @tidy
 def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequent: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """key, doc_id, n, signature and digest of every row of the index. frequent is sorted; shares: blocks of each."""
+    """Rows of the index, see INDEX; base is the key of a bucket that is cut into blocks, else null.
+    frequent is sorted; shares: blocks of each."""
     for batch in sliced(batches, ROWS):
-        sets = _sets(batch, k)
-        keys, docs, sizes, signs, equal = [], [], [], [], []
-        ids = batch.column("doc_id")
-        for i in _first(batch, sets):
+        keys, blocks, held, sizes, signs = [], [], [], [], []
+        sets, digests = _sets(batch, k)
+        rows = _first(batch, sets, digests)
+        for i in rows:
             s = sets[i]
-            n, doc = len(s), ids[i].as_py()
+            n = len(s)
             p = n - needed(n, percent) + 1
             at = np.searchsorted(frequent, s)
             often = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == s) if len(frequent) else np.zeros(n, dtype=bool)
             rare = s[~often][:p]
-            own = [rare]
+            own, cut = [rare], [np.ones(len(rare), dtype=np.int64)]
             if len(rare) < p + 1:
-                rest, blocks = s[often][: p + 1 - len(rare)], shares[at[often][: p + 1 - len(rare)]]
+                rest, b = s[often][: p + 1 - len(rare)], shares[at[often][: p + 1 - len(rare)]]
                 if n <= LONG and len(rest) > 1:
                     x, y = np.triu_indices(len(rest), 1)
-                    own.append(_dealt(mix(rest[x] * U(3) + rest[y]), np.minimum(blocks[x], blocks[y]), doc))
+                    own.append(mix(rest[x] * U(3) + rest[y]))
+                    cut.append(np.minimum(b[x], b[y]))
                 if 100 * n > percent * LONG:
-                    own.append(_dealt(mix(rest ^ U(0x5851F42D4C957F2D)), blocks, doc))
-            own = np.concatenate(own)
-            keys.append(own)
-            docs.append(np.full(len(own), doc, dtype=np.int64))
-            sizes.append(np.full(len(own), n, dtype=np.int64))
-            equal.append(np.full(len(own), np.frombuffer(_digest(s)[:8], dtype=np.int64)[0]))
-            signs.append(np.broadcast_to(_signature(s).view(np.int64), (len(own), 2)))
-        if keys:
-            sign = np.concatenate(signs)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes)), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), pa.array(np.concatenate(equal))], names=["key", "doc_id", "n", "s0", "s1", "digest"])
-
-
-def _dealt(keys: np.ndarray, blocks: np.ndarray, doc: int) -> np.ndarray:
-    """Keys of a bucket's pairs of blocks that the document's own block is in. A bucket of one block keeps
-    its key whatever else the document holds, as its other documents do."""
-    one = blocks <= 1
-    if one.all():
-        return keys
-    out = []
-    h = int(mix(np.array([doc & 0xFFFFFFFFFFFFFFFF], dtype=U))[0])
-    for key, b in zip(keys[~one].tolist(), blocks[~one].tolist(), strict=True):
-        own = h % b
-        out += [(key + 0x9E3779B97F4A7C15 * (1 + min(own, j) * b + max(own, j))) & 0xFFFFFFFFFFFFFFFF for j in range(b)]
-    return np.concatenate([keys[one], mix(np.array(out, dtype=U))])
-
-
-def _survivors(t: pa.Table, percent: int, group: np.ndarray, sign: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers (i, j) of pairs of one bucket that may reach the threshold, and how their counts
-    differ, piece by piece; i is in a piece once. Rows come sorted by key and n; only pairs of different
-    groups count."""
-    key, n = (t.column(c).to_numpy() for c in ("key", "n"))
-    i = np.flatnonzero(key[1:] == key[:-1]) + 1
-    step = 1
-    while len(i):
-        i = i[i >= step]
+                    own.append(mix(rest ^ U(0x5851F42D4C957F2D)))
+                    cut.append(b)
+            keys.append(np.concatenate(own))
+            blocks.append(np.concatenate(cut))
+            held.append(len(keys[-1]))
+            sizes.append(n)
+            signs.append(_signature(s).view(np.int64))
+        if not keys:
+            continue
+        base, b = np.concatenate(keys), np.concatenate(blocks)
+        digest = np.repeat(np.array([_short(digests[i]) for i in rows], dtype=np.int64), held)
+        hot = b > 1
+        key = np.where(hot, _in_block(base, mix(digest.view(U)) % b.astype(U)), base)
+        sign = np.repeat(np.stack(signs), held, axis=0)
+        doc = np.repeat(batch.column("doc_id").take(pa.array(rows)).to_numpy().astype(np.int64), held)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(base), mask=~hot), pa.array(b.astype(np.int32)), pa.array(doc), pa.array(digest), pa.array(np.repeat(np.array(sizes, dtype=np.int64), held)), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy())], names=[f.split()[0] for f in INDEX.split(", ")])
+
+
+def partnered(key: np.ndarray, n: np.ndarray, sign: np.ndarray, name: np.ndarray, room: np.ndarray, guest: np.ndarray, percent: int, fit: Callable | None = None) -> np.ndarray:
+    """Which rows have a partner in their bucket: of another name and room, and sizes and counts that may
+    reach the threshold; where there are guests, one of a pair must be a guest and one not; and fit, if
+    given, must say yes to the pair. Rows come sorted by key and n. A pair is looked at as long as one of
+    its rows has no partner."""
+    found = np.zeros(len(key), dtype=bool)
+    bucket = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    guests = guest.any()
+    i, step, piece = np.arange(1, len(key)), 1, (1 << 20) // sign.shape[1]
+    while len(i := i[i >= step]):
         j = i - step
-        ok = (key[i] == key[j]) & (100 * n[j] >= percent * n[i])  # once false, also for every larger step
+        ok = (bucket[i] == bucket[j]) & (100 * n[j] >= percent * n[i])  # once false, also for every larger step
         i, j = i[ok], j[ok]
-        apart = group[i] != group[j]
-        x, y = i[apart], j[apart]
-        piece = (1 << 20) // sign.shape[1]
+        look = ~(found[i] & found[j]) & (name[i] != name[j]) & (room[i] != room[j])
+        if guests:
+            look &= guest[i] != guest[j]
+        x, y = i[look], j[look]
         for c in range(0, len(x), piece):
             a, b = x[c : c + piece], y[c : c + piece]
             gap = np.abs(sign[a].astype(np.int16) - sign[b]).sum(axis=1, dtype=np.int64)
             # |x^y| <= (|x|+|y|) (1-t)/(1+t)
             close = gap * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-            if close.any():
-                yield a[close], b[close], gap[close]
+            a, b = a[close], b[close]
+            if fit is not None and len(a):
+                yes = fit(a, b)
+                a, b = a[yes], b[yes]
+            found[a] = True
+            found[b] = True
+        if step & (step - 1) == 0 and len(i):  # a row with a partner goes on only for rows further back that have none
+            bare, first = np.flatnonzero(~found), np.full(bucket[-1] + 1, len(key))
+            np.minimum.at(first, bucket[bare], bare)
+            i = i[~found[i] | (first[bucket[i]] <= i - step)]
         step += 1
+    return found
 
 
-def _pairs(doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    apart = doc[i] != doc[j]
-    i, j = i[apart], j[apart]
-    return np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1), axis=0)
-
-
-def _mates(t: pa.Table, percent: int, group: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents: of each row, the NEAREST earlier rows of its bucket that differ least. And how
-    many rows there are for each row that may link at all."""
-    m = len(t)
-    gaps, mates, met = np.full((m, NEAREST), np.iinfo(np.int64).max), np.full((m, NEAREST), -1), np.zeros(m, dtype=np.int64)
-    for i, j, gap in _survivors(t, percent, group, sign):
-        met[i] += 1
-        for k in range(NEAREST):  # the new one pushes down those it is nearer than
-            nearer = gap < gaps[i, k]
-            row, old_gap, old_mate = i[nearer], gaps[i, k].copy(), mates[i, k].copy()
-            gaps[row, k], mates[row, k] = gap[nearer], j[nearer]
-            gap, j = np.where(nearer, old_gap, gap), np.where(nearer, old_mate, j)
-    i, k = np.nonzero(mates >= 0)
-    return _pairs(t.column("doc_id").to_numpy(), i, mates[i, k]), met
+PASSED = INDEX + ", name long, room long, asks boolean, guest boolean, partner boolean"
+COLUMNS = [f.split()[0] for f in PASSED.split(", ")]
 
 
 @tidy
-def nearest_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each document and its nearest earlier ones; the rows of buckets with more pairs."""
-    names = ["a", "b", "key", "doc_id", "n"]
-    nulls = lambda c: pa.nulls(c, pa.int64())
+def bucket_batches(batches: Iterable[pa.RecordBatch], percent: int, block: int, cut: bool) -> Iterator[pa.RecordBatch]:
+    """Rows, see PASSED, that have a partner; of buckets in blocks also the others. With cut, buckets of
+    over block rows come out in blocks, with a null partner, not looked through. Rows come sorted by key,
+    n, digest and doc; of each set the first counts."""
     for t in by_key(batches, "key"):
-        sign = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], axis=1).view(np.uint8)
-        pairs, met = _mates(t, percent, t.column("digest").to_numpy(), sign)
-        if not met.any():
+        t = t.combine_chunks()
+        key, n, digest = (t.column(c).to_numpy() for c in ("key", "n", "digest"))
+        guest = t.column("guest").to_numpy(zero_copy_only=False)
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]) & (guest[1:] == guest[:-1])])
+        if again.any():
+            t = t.filter(pa.array(~again)).combine_chunks()
+            key, n, digest, guest = key[~again], n[~again], digest[~again], guest[~again]
+        whole = t.column("base").is_null().to_numpy(zero_copy_only=False)
+        _, which, rows = np.unique(key, return_inverse=True, return_counts=True)
+        large = (rows[which] > block) & whole & cut
+        if large.any():
+            b = -(-rows[which][large] // block)
+            cols = {c: t.column(c).filter(pa.array(large)).combine_chunks() for c in COLUMNS}
+            cols |= {"key": pa.array(signed(_in_block(key[large].view(U), mix(digest[large].view(U)) % b.astype(U)))), "base": pa.array(key[large]), "blocks": pa.array(b.astype(np.int32)), "partner": pa.nulls(len(b), pa.bool_())}
+            yield pa.RecordBatch.from_arrays([cols[c] for c in COLUMNS], names=COLUMNS)
+            t = t.filter(pa.array(~large)).combine_chunks()
+            key, n, guest, whole = key[~large], n[~large], guest[~large], whole[~large]
+        if not len(key):
             continue
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *[nulls(len(pairs))] * 3], names=names)
-        key = t.column("key").to_numpy()
-        more = np.isin(key, key[met > NEAREST])
-        for piece in t.filter(pa.array(more)).combine_chunks().to_batches() if more.any() else ():
-            yield pa.RecordBatch.from_arrays([nulls(len(piece)), nulls(len(piece)), *[piece.column(c) for c in names[2:]]], names=names)
-
-
-@tidy
-def between_batches(batches: Iterable[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that may link and have different labels: every one, or each row's nearest."""
-    for t in by_key(batches, "key"):
-        doc, label = t.column("doc_id").to_numpy(), t.column("label").to_numpy()
-        sign = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(t), SKETCH)
-        found = (_pairs(doc, i, j) for i, j, _ in _survivors(t, percent, label, sign)) if every else [_mates(t, percent, label, sign)[0]]
-        for pairs in found:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        sign = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], axis=1).view(np.uint8)
+        found = partnered(key, n, sign, t.column("name").to_numpy(), t.column("room").to_numpy(), guest, percent)
+        had = t.column("partner").fill_null(False).to_numpy(zero_copy_only=False)
+        keep = found & ~had if guest.any() else found | ~whole
+        if keep.any():
+            cols = {c: t.column(c).filter(pa.array(keep)).combine_chunks() for c in COLUMNS} | {"partner": pa.array(found[keep])}
+            yield pa.RecordBatch.from_arrays([cols[c] for c in COLUMNS], names=COLUMNS)
 
 
 @tidy
-def pack_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, as pairs carry them twice."""
-    packer = zstandard.ZstdCompressor(level=3)
+def guest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets in blocks, as guests in all the other blocks."""
     for batch in batches:
-        packed = [None if t is None else packer.compress(t.encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "text"])
+        for piece in sliced([batch], 256):
+            if not piece.num_rows:
+                continue
+            b = piece.column("blocks").to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(b)), b)
+            to = np.arange(b.sum()) - np.repeat(np.cumsum(b) - b, b)
+            own = (mix(piece.column("digest").to_numpy().view(U)) % b.astype(U)).astype(np.int64)
+            row, to = row[to != own[row]], to[to != own[row]]
+            t = piece.take(pa.array(row))
+            cols = {c: t.column(c) for c in COLUMNS}
+            cols |= {"key": pa.array(signed(_in_block(t.column("base").to_numpy().view(U), to))), "guest": pa.array(np.ones(len(row), dtype=bool))}
+            yield pa.RecordBatch.from_arrays([cols[c] for c in COLUMNS], names=COLUMNS)
+
+
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """key (of the whole bucket), doc, digest, n, s0, s1, name, room of the rows, see PASSED, that have a partner."""
+    block = BLOCK
+
+    def passed(df: DataFrame, cut: bool) -> DataFrame:
+        dealt = df.repartition(F.col("key")).sortWithinPartitions("key", "n", "digest", "guest", "doc")
+        return written(dealt.mapInArrow(lambda b: bucket_batches(b, percent, block, cut), PASSED))
+
+    seen = passed(rows, True)
+    late = seen.where("partner IS NULL")
+    if not late.isEmpty():
+        seen = seen.where("partner IS NOT NULL").unionByName(passed(late, False))
+    found = seen.where("partner")
+    bare = seen.where("NOT partner AND asks")
+    if not bare.isEmpty():
+        bases = bare.select("base").distinct()
+        there = seen.where("base IS NOT NULL").join(bases, "base", "left_semi").select(*COLUMNS)
+        met = passed(there.unionByName(bare.mapInArrow(guest_batches, PASSED)), False)
+        found = found.unionByName(met.where("partner"))
+    out = found.select(F.coalesce("base", "key").alias("key"), "doc", "digest", "n", "s0", "s1", "name", "room")
+    return out if bare.isEmpty() else out.distinct()
+
+
+def forest(doc: np.ndarray, n: np.ndarray, sets: list[np.ndarray], name: np.ndarray, room: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what can be joined of rows, sorted by n, of different names and rooms: of rows that
+    are joined already, no further link."""
+    sign = np.stack([_signature(s, SKETCH) for s in sets]).astype(np.int16)
+    name = np.unique(name, return_inverse=True)[1]
+    last = np.searchsorted(percent * n, 100 * n, side="right")
+    out = []
+    for p in range(len(doc)):
+        c = np.arange(p + 1, last[p])
+        c = c[(name[c] != name[p]) & (room[c] != room[p])]
+        if len(c):
+            gap = np.abs(sign[c] - sign[p]).sum(axis=1, dtype=np.int64)
+            c = c[gap * (100 + percent) <= (n[c] + n[p]) * (100 - percent)]
+        if not len(c):
+            continue
+        every, own = np.concatenate([sets[x] for x in c]), sets[p]
+        both = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+        shared = np.add.reduceat(both, np.cumsum(n[c]) - n[c], dtype=np.int64)
+        c = c[100 * shared >= percent * (n[p] + n[c] - shared)]
+        joined, first = np.unique(name[c], return_index=True)
+        out += [(int(doc[p]), int(x)) for x in doc[c[first]] if x != doc[p]]
+        name[np.isin(name, joined)] = name[p]
+    return out
 
 
-def sketch_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs that finer counts leave possible."""
-    for batch in batches:
-        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        ok = np.ones(len(batch), dtype=bool)
-        for at in range(0, len(batch), 1 << 12):
-            x, y = (np.frombuffer(b"".join(batch.column(c).slice(at, 1 << 12).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
-            part = slice(at, at + len(x))
-            ok[part] = np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (na[part] + nb[part]) * (100 - percent)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+@tidy
+def forest_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (place, doc, digest, n, name, room, text) sorted by place and n. Of a doc_id with
+    several texts, the one of the digest counts."""
+    unpacker = zstandard.ZstdDecompressor()
+    for t in by_key(batches, "place"):
+        place = t.column("place").to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+        out = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b - a > 1:
+                part = t.slice(a, b - a)
+                sets = [shingles(unpacker.decompress(x.as_py()).decode(), k) for x in part.column("text")]
+                doc, digest, n, name, room = (part.column(c).to_numpy() for c in ("doc", "digest", "n", "name", "room"))
+                own = np.flatnonzero([len(s) == m and _short(_digest(s)) == d for s, m, d in zip(sets, n.tolist(), digest.tolist(), strict=True)])
+                out += forest(doc[own], n[own], [sets[i] for i in own], name[own], room[own], percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _possible(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    one = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: sketch_batches(x, percent), "a long, b long").distinct()
+def _verified(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among rows (place, doc, digest, n, name, room)."""
+    dealt = rows.join(texts, "doc").select("place", "doc", "digest", "n", "name", "room", "text").repartition(F.col("place")).sortWithinPartitions("place", "n")
+    return dealt.mapInArrow(lambda b: forest_batches(b, k, percent), "a long, b long")
 
 
-@tidy
-def verify_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links among pairs; rows (a, b, doc_id, text) sorted by a and b. Texts of one id each count."""
-    at, left, right = None, [], []
-    unpacker = zstandard.ZstdDecompressor()
+SHOWN = ["place", "key", "doc", "digest", "n", "name", "room", "sketch", "keys"]
 
-    def linked() -> bool:
-        return any(100 * len(x & y) >= percent * len(x | y) for x in left for y in right if x and y)
 
-    for batch in batches:
-        out = []
-        cols = [batch.column(c).to_pylist() for c in ("a", "b", "doc_id", "text")]
-        for a, b, doc, text in zip(*cols, strict=True):
-            if (a, b) != at:
-                if at and linked():
-                    out.append(at)
-                at, left, right = (a, b), [], []
-            s = shingle_set(None if text is None else unpacker.decompress(text).decode(), k)
-            (left if doc == a else right).append(s)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-    if at and linked():
-        yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64())], names=["a", "b"])
+def shared_before(key: np.ndarray, keys: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of pairs of rows: whether the least of the keys that both have is that of their bucket."""
+    keys = [x[x < k] for x, k in zip(keys, key.tolist(), strict=True)]
+    size = np.array([len(x) for x in keys], dtype=np.int64)
+    start = np.cumsum(size) - size
+    kinds, rank = np.unique(np.concatenate(keys), return_inverse=True)
+    held = np.sort(np.repeat(np.arange(len(keys)), size) * len(kinds) + rank) if len(kinds) else np.zeros(0, dtype=np.int64)
 
+    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = size[a]
+        if not n.any():
+            return np.ones(len(a), dtype=bool)
+        pair = np.repeat(np.arange(len(a)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[a], n)
+        code = b[pair] * len(kinds) + rank[at]
+        hit = held[np.minimum(np.searchsorted(held, code), len(held) - 1)] == code
+        return np.bincount(pair, weights=hit, minlength=len(a)) == 0
 
-def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    with_text = ends.join(texts, "doc_id").select("a", "b", "doc_id", "text")
-    dealt = with_text.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "doc_id")
-    return dealt.mapInArrow(lambda x: verify_batches(x, k, percent), "a long, b long")
+    return fit
 
 
-def frequent_class(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+@tidy
+def nearer_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows, see SHOWN, sorted by place and n, those with a partner that finer counts leave possible and
+    that they share no lesser key with; so a pair meets in one bucket."""
+    names = [c for c in SHOWN if c not in ("key", "sketch", "keys")]
+    for t in by_key(batches, "place"):
+        t = t.combine_chunks()
+        place, key, n, name, room = (t.column(c).to_numpy() for c in ("place", "key", "n", "name", "room"))
+        sign = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(t), SKETCH)
+        lists = t.column("keys").combine_chunks()
+        fit = shared_before(key, np.split(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]))
+        keep = pa.array(partnered(place, n, sign, name, room, np.zeros(len(t), dtype=bool), percent, fit))
+        yield pa.RecordBatch.from_arrays([t.column(c).filter(keep).combine_chunks() for c in names], names=names)
+
+
+def _parts(count: str, tokens: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(count) / F.lit(BLOCK)), F.ceil(F.col(tokens) / F.lit(TOKENS))).cast("int")
+
+
+def _first_round(found: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the bucket of least key of each document, and where (room) each document was verified."""
+    home = found.groupBy("doc", "digest", "n").agg(F.min("key").alias("home"))
+    size = home.groupBy("home").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.min(F.struct("digest", "doc")).alias("pivot")).where("rows > 1")
+    size = size.select("home", _parts("rows", "tokens").alias("parts"), "pivot")
+    placed = home.join(size, "home").withColumn("own", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
+    # Of a home in parts, one document is shown to all.
+    pivot = (F.col("pivot.digest") == F.col("digest")) & (F.col("pivot.doc") == F.col("doc"))
+    to = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own")))
+    placed = placed.withColumn("to", to)
+    rooms = placed.where("to = own").select("doc", "digest", F.xxhash64("home", "own").alias("room"))
+    rows = placed.select(F.xxhash64("home", "to").alias("place"), "doc", "digest", "n", F.col("digest").alias("name"), F.col("digest").alias("room"))
+    return _verified(rows, texts, k, percent), rooms
+
+
+def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between documents of different names in buckets that hold such."""
+    rows = found.drop("name", "room").join(named, ["doc", "digest"])
+    names = rows.groupBy("key", "name").agg(F.count("*").alias("rows"))
+    mixed = names.groupBy("key").agg(F.count("*").alias("names"), F.max_by("name", "rows").alias("major")).where("names > 1").drop("names")
+    rows = rows.join(mixed, "key").withColumn("asks", F.col("name") != F.col("major"))
+    rows = rows.withColumns({"base": F.lit(None).cast("long"), "blocks": F.lit(1), "guest": F.lit(False), "partner": F.lit(False)}).select(*COLUMNS)
+    left = with_partners(rows, percent).drop("s0", "s1")
+    # Of a bucket in parts, rows of its commonest name go to one, the others to all.
+    names = left.groupBy("key", "name").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    size = names.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.max_by("name", "rows").alias("major")).select("key", _parts("rows", "tokens").alias("parts"), "major")
+    part = F.pmod(F.xxhash64("digest"), "parts").cast("int")
+    left = left.join(size, "key").withColumn("to", F.explode(F.when(F.col("name") == F.col("major"), F.array(part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    keys = left.groupBy("doc", "digest").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # those of one document
+    left = left.join(keys, ["doc", "digest"]).join(sketches, ["doc", "digest"]).select(F.xxhash64("key", "to").alias("place"), *SHOWN[1:])
+    dealt = left.repartition(F.col("place")).sortWithinPartitions("place", "n")
+    shown = "place long, doc long, digest long, n long, name long, room long"
+    return _verified(written(dealt.mapInArrow(lambda b: nearer_batches(b, percent), shown)), texts, k, percent)
+
+
+def frequent_class(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frequent tokens, sorted, and the number of blocks of each; at most MAX_FREQUENT."""
-    total = nodes.where("token IS NULL").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    total = rows.where("token IS NULL").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     least = max(2, total["docs"] // FREQUENT, -(-total["tokens"] // MAX_FREQUENT))
-    rows = nodes.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).collect()
-    token = np.array([r["token"] for r in rows], dtype=np.int64).view(U)
-    blocks = np.array([-(-r["times"] // BLOCK) for r in rows], dtype=np.int64)
+    often = rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).collect()
+    token = np.array([r["token"] for r in often], dtype=np.int64).view(U)
+    blocks = np.array([-(-r["times"] // BLOCK) for r in often], dtype=np.int64)
     order = np.argsort(token)
     return token[order], blocks[order]
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of docs(doc_id, text). Two documents
-    link when 100 * |intersection| >= percent * |union|; n_links counts the verified links that the
-    component was joined by."""
+    """doc_id, n_shingles, component_id of every row of docs(doc_id, text). Two documents link when
+    100 * |intersection| >= percent * |union|."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    ship(docs.sparkSession)
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(texts.mapInArrow(lambda b: node_batches(b, k), "doc_id long, n long, digest binary, token long, times long, sketch binary"))
-    shared = spark.sparkContext.broadcast(frequent_class(found))  # at most MAX_FREQUENT tokens
-    nodes = found.where("token IS NULL").select("doc_id", "n", "digest", "sketch")
-
-    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), "key long, doc_id long, n long, s0 long, s1 long, digest long")
-    first = written(index.repartition(F.col("key")).sortWithinPartitions("key", "n", "doc_id").mapInArrow(lambda b: nearest_batches(b, percent), "a long, b long, key long, doc_id long, n long"))
-    pairs = first.where("a IS NOT NULL").select("a", "b").distinct()
-    # Equal sets meet at the least id of their digest; what the index found is about other sets.
-    least = nodes.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = written(nodes.where("doc_id IS NOT NULL").join(least, "digest", "left").select("doc_id", "least").where("least <> doc_id").distinct())
-    equal = copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    rest = first.where("key IS NOT NULL").select("key", "doc_id", "n")
-    # Texts and sketches move once; what follows reads those of documents that are in some pair.
-    named = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(rest.select("doc_id")).distinct())
-    texts = written(texts.join(named, "doc_id", "left_semi").mapInArrow(pack_batches, "doc_id long, text binary"))
-    sketches = written(nodes.where("sketch IS NOT NULL").join(named, "doc_id", "left_semi").select("doc_id", "n", "sketch").distinct())
-    links = written(_verified(texts, _possible(sketches, pairs, percent), k, percent).unionByName(equal))
+    every = written(texts.mapInArrow(lambda b: node_batches(b, k), "doc_id long, n long, digest binary, short long, token long, times long, sketch binary"))
+    shared = spark.sparkContext.broadcast(frequent_class(every))  # at most MAX_FREQUENT tokens
+    nodes = every.where("token IS NULL").select("doc_id", "n", "digest")
+
+    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), INDEX)
+    index = index.withColumns({"name": F.col("digest"), "room": F.col("digest"), "asks": F.lit(True), "guest": F.lit(False), "partner": F.lit(False)})
+    found = with_partners(index, percent)
+    # Texts move once; what follows reads those of documents that have a partner.
+    held = texts.where("doc_id IS NOT NULL").mapInArrow(pack_batches, "doc long, text binary")
+    held = written(held.join(found.select("doc").distinct(), "doc", "left_semi"))
+    links, rooms = _first_round(found, held, k, percent)
+    links = written(links)
     label = components(links)
-    tried = pairs
-    for every in (False, True) if not rest.isEmpty() else ():
-        open_ = rest.join(label, rest["doc_id"] == label["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-        # Most buckets hold one component by now and need no second look.
-        mixed = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        dealt = open_.join(mixed, "key").join(sketches, ["doc_id", "n"]).repartition(F.col("key")).sortWithinPartitions("key", "n", "doc_id")
-        found = dealt.mapInArrow(lambda b, every=every: between_batches(b, percent, every), "a long, b long")
-        between = written(found.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not between.isEmpty():
-            links = written(links.unionByName(_verified(texts, _possible(sketches, between, percent), k, percent)))
-            label = components(links)
-            tried = tried.unionByName(between)
-    label = written(label)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = nodes.join(label, nodes["doc_id"] == label["node"], "left").drop("node").join(degree, nodes["doc_id"] == degree["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = found.select("doc", "digest").distinct().join(rooms, ["doc", "digest"], "left").join(label, F.col("doc") == label["node"], "left")
+    named = written(named.select("doc", "digest", F.coalesce("component", "doc").alias("name"), F.coalesce("room", "digest").alias("room")))
+    sketches = every.where("sketch IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("short").alias("digest"), "sketch").distinct()
+    more = written(_second_round(found, named, sketches, held, k, percent))
+    # Equal sets meet at the least id of their digest.
+    least = nodes.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    equal = nodes.where("doc_id IS NOT NULL").join(least, "digest").where("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    label = written(components(links.unionByName(more).unionByName(equal)))
+    out = nodes.join(label, nodes["doc_id"] == label["node"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -43,7 +43,7 @@ def corpus(seed, n=220):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent", "frequent", "long", "block"), [(3, 90, 512, 128, 4096), (5, 80, 8, 128, 4096), (3, 90, 8, 30, 16), (2, 60, 4, 20, 8)])
+@pytest.mark.parametrize(("k", "percent", "frequent", "long", "block"), [(5, 80, 8, 128, 4096), (3, 90, 8, 30, 16), (2, 60, 4, 20, 8)])
 def test_components_equal_brute_force(spark, monkeypatch, k, percent, frequent, long, block):
     for name, value in (("FREQUENT", frequent), ("LONG", long), ("BLOCK", block)):
         monkeypatch.setattr(N, name, value)
@@ -63,14 +63,77 @@ def test_empty(spark):
     assert [tuple(r) for r in N.keep_one(clash).collect()] == [(1, "a b", 3, "x")]
 
 
-def test_one_block_keys_meet_beside_many_block_keys():
-    one, two = np.array([5], dtype=N.U), np.array([5, 9], dtype=N.U)
-    alone, beside = N._dealt(one, np.array([1]), 1), N._dealt(two, np.array([1, 3]), 2)
-    assert len(alone) == 1 and len(beside) == 1 + 3
-    assert set(alone.tolist()) & set(beside.tolist())
-
-
-def test_links_whose_prefixes_straddle_a_block():
+def test_large_buckets_and_groups(spark, monkeypatch):
+    """One group of near copies holds a third of all rows; buckets, homes and verified parts are cut small."""
+    for name, value in (("FREQUENT", 4), ("LONG", 40), ("BLOCK", 8), ("TOKENS", 300), ("ROWS", 60)):
+        monkeypatch.setattr(N, name, value)
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    hot, other = [r.choice(vocab) for _ in range(50)], [r.choice(vocab) for _ in range(36)]
+    rows = []
+    for i in range(240):
+        w = list(hot) if i % 3 == 0 else list(other) if i % 3 == 1 else [r.choice(vocab) for _ in range(r.randint(3, 50))] + hot[:30]
+        for _ in range(r.choice([0, 1, 1, 2])):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, percent in ((1, 80),):
+        got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in N.join(docs, k, percent).collect())
+        assert got == brute(rows, k, percent)
+
+
+def test_partners_equal_all_pairs():
+    r = np.random.default_rng(3)
+    for trial in range(60):
+        m = int(r.integers(1, 120))
+        key, n = r.integers(0, 4, m), r.integers(2, 30, m)
+        order = np.lexsort((n, key))
+        key, n = key[order], n[order]
+        sign = r.integers(0, 3, (m, 16)).astype(np.uint8)
+        name, room, guest = r.integers(0, 3, m), r.integers(0, 30, m), (r.random(m) < 0.3) & (trial % 2 == 1)
+        want = np.zeros(m, dtype=bool)
+        for i in range(m):
+            for j in range(i):
+                near = 100 * n[j] >= 80 * n[i] and int(np.abs(sign[i].astype(int) - sign[j]).sum()) * 180 <= (n[i] + n[j]) * 20
+                if key[i] == key[j] and near and name[i] != name[j] and room[i] != room[j] and (guest[i] != guest[j] or not guest.any()):
+                    want[i] = want[j] = True
+        assert (N.partnered(key, n, sign, name, room, guest, 80) == want).all()
+
+
+def test_pairs_meet_at_their_least_key():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        keys = [np.unique(r.integers(0, 12, int(r.integers(1, 8)))) for _ in range(20)]
+        key = np.array([x[int(r.integers(len(x)))] for x in keys])
+        a, b = np.triu_indices(20, 1)
+        both = key[a] == key[b]
+        a, b = a[both], b[both]
+        want = [min(set(keys[x]) & set(keys[y])) == key[x] for x, y in zip(a, b, strict=True)]
+        assert N.shared_before(key, keys)(a, b).tolist() == want
+
+
+def test_forest_joins_what_links():
+    r = random.Random(6)
+    for _ in range(40):
+        sets = sorted((np.unique(np.array([r.randrange(40) for _ in range(r.randint(2, 40))], dtype=N.U)) for _ in range(25)), key=len)
+        n = np.array([len(s) for s in sets])
+        up = list(range(25))
+        for i in range(25):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 70 * (n[i] + n[j] - both):
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if x in (a, b) else x for x in up]
+        links = N.forest(np.arange(25), n, sets, np.arange(25), np.arange(25), 70)
+        own = list(range(25))
+        for a, b in links:
+            x, y = own[a], own[b]
+            assert x != y
+            own = [min(x, y) if z in (x, y) else z for z in own]
+        assert own == up
+
+
+def test_links_whose_prefixes_straddle_a_block(spark, monkeypatch):
     """Of two long documents with prefixes of frequent tokens, one has a token of many blocks in its own."""
     vocab = [f"w{i}" for i in range(140)]
     least = int(N.shingles(" ".join(vocab), 1)[1])
@@ -80,10 +143,18 @@ def test_links_whose_prefixes_straddle_a_block():
     assert 100 * len(np.intersect1d(one, two)) >= 90 * len(np.union1d(one, two))
     frequent = np.union1d(one, two)
     (many,) = np.setdiff1d(two, one)
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
-    (out,) = N.index_batches([batch], 1, 90, frequent, np.where(frequent == many, 3, 1))
-    keys = {i: {k for k, d in zip(out.column("key").to_pylist(), out.column("doc_id").to_pylist(), strict=True) if d == i} for i in (1, 2)}
-    assert keys[1] & keys[2]
+    monkeypatch.setattr(N, "frequent_class", lambda rows: (frequent, np.where(frequent == many, 3, 1)))
+    got = N.join(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string"), 1, 90).collect()
+    assert [r.component_id for r in got] == [1, 1]
+
+
+def test_very_long_text(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(120_000)]
+    near = words[:60_000] + ["x"] + words[60_001:]
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (4, "a b c d")]
+    got = {x.doc_id: x.component_id for x in N.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {5: 3, 3: 3, 4: 4}
 
 
 def test_hashes_agree_with_words():
