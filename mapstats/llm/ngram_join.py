@@ -11,7 +11,7 @@ Which tokens are frequent is counted over all documents: each batch reports the
 more than one of FREQUENT of its documents. The class only steers the cost. It holds at most
 MAX_FREQUENT tokens, so it can be broadcast.
 
-1. Buckets. Rows of a bucket carry the size of the set and 16 counts of its tokens by hash;
+1. Buckets. Rows of a bucket carry the size of the set and 32 counts of its tokens by hash;
    sizes and counts exclude pairs that cannot reach the threshold. What leaves a bucket is not
    pairs but its rows that have some partner left, each once, so a bucket gives no more rows
    than it holds, and of a large group each row stops at its first partner. Copies of a set
@@ -56,7 +56,7 @@ MAX_FREQUENT = 1 << 18
 LONG = 128
 BLOCK = 4096
 TOKENS = 1 << 21  # tokens of the sets that are verified together
-BINS = 16
+BINS = 32
 SKETCH = 256
 ROWS = 2500  # documents whose sets are held at once
 GOLD = 0x9E3779B97F4A7C15
@@ -66,10 +66,27 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _counts(tokens: np.ndarray, bins: int) -> np.ndarray:
+    """Tokens by the low bits of their hash, counted modulo 16."""
+    return (np.bincount((tokens & U(bins - 1)).astype(np.int64), minlength=bins) & 15).astype(np.uint8)
+
+
 def _signature(tokens: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Tokens by the low bits of their hash, counted up to 255. The counts of two sets differ by no
-    more, in sum, than the sets do."""
-    return np.minimum(np.bincount((tokens & U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+    """The counts, two in a byte."""
+    c = _counts(tokens, bins)
+    return c[::2] | c[1::2] << 4
+
+
+def _unpacked(sign: np.ndarray) -> np.ndarray:
+    return np.stack([sign & 15, sign >> 4], axis=2).reshape(len(sign), -1)
+
+
+AROUND = np.minimum(np.arange(16), 16 - np.arange(16)).astype(np.uint8)
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far counts differ in sum, each the shorter way round; two sets differ by no fewer tokens."""
+    return AROUND[(a - b) & 15].sum(axis=1, dtype=np.int64)
 
 
 def _short(digest: bytes) -> int:
@@ -198,7 +215,7 @@ def partnered(key: np.ndarray, n: np.ndarray, sign: np.ndarray, name: np.ndarray
         x, y = i[look], j[look]
         for c in range(0, len(x), piece):
             a, b = x[c : c + piece], y[c : c + piece]
-            gap = np.abs(sign[a].astype(np.int16) - sign[b]).sum(axis=1, dtype=np.int64)
+            gap = _gap(sign[a], sign[b])
             # |x^y| <= (|x|+|y|) (1-t)/(1+t)
             close = gap * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
             a, b = a[close], b[close]
@@ -244,7 +261,7 @@ def bucket_batches(batches: Iterable[pa.RecordBatch], percent: int, block: int,
             key, n, guest, whole = key[~large], n[~large], guest[~large], whole[~large]
         if not len(key):
             continue
-        sign = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], axis=1).view(np.uint8)
+        sign = _unpacked(np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], axis=1).view(np.uint8))
         found = partnered(key, n, sign, t.column("name").to_numpy(), t.column("room").to_numpy(), guest, percent)
         had = t.column("partner").fill_null(False).to_numpy(zero_copy_only=False)
         keep = found & ~had if guest.any() else found | ~whole
@@ -272,11 +289,14 @@ def guest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def with_partners(rows: DataFrame, percent: int) -> DataFrame:
-    """key (of the whole bucket), doc, digest, n, s0, s1, name, room of the rows, see PASSED, that have a partner."""
+    """key (of the whole bucket), doc, digest, n, s0, s1, name, room of the rows, see PASSED, that have a
+    partner. Rows of the index, see INDEX, are sets of their own."""
     block = BLOCK
 
     def passed(df: DataFrame, cut: bool) -> DataFrame:
-        dealt = df.repartition(F.col("key")).sortWithinPartitions("key", "n", "digest", "guest", "doc")
+        dealt = df.repartition(F.col("key")).sortWithinPartitions("key", "n", "digest", *[c for c in ("guest", "doc") if c in df.columns])
+        missing = {"name": F.col("digest"), "room": F.col("digest"), "asks": F.lit(True), "guest": F.lit(False), "partner": F.lit(False)}
+        dealt = dealt.withColumns({c: x for c, x in missing.items() if c not in df.columns})
         return written(dealt.mapInArrow(lambda b: bucket_batches(b, percent, block, cut), PASSED))
 
     seen = passed(rows, True)
@@ -297,7 +317,7 @@ def with_partners(rows: DataFrame, percent: int) -> DataFrame:
 def forest(doc: np.ndarray, n: np.ndarray, sets: list[np.ndarray], name: np.ndarray, room: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join what can be joined of rows, sorted by n, of different names and rooms: of rows that
     are joined already, no further link."""
-    sign = np.stack([_signature(s, SKETCH) for s in sets]).astype(np.int16)
+    sign = np.stack([_counts(s, SKETCH) for s in sets])
     name = np.unique(name, return_inverse=True)[1]
     last = np.searchsorted(percent * n, 100 * n, side="right")
     out = []
@@ -305,7 +325,7 @@ def forest(doc: np.ndarray, n: np.ndarray, sets: list[np.ndarray], name: np.ndar
         c = np.arange(p + 1, last[p])
         c = c[(name[c] != name[p]) & (room[c] != room[p])]
         if len(c):
-            gap = np.abs(sign[c] - sign[p]).sum(axis=1, dtype=np.int64)
+            gap = _gap(sign[c], sign[p])
             c = c[gap * (100 + percent) <= (n[c] + n[p]) * (100 - percent)]
         if not len(c):
             continue
@@ -376,7 +396,7 @@ def nearer_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[
     for t in by_key(batches, "place"):
         t = t.combine_chunks()
         place, key, n, name, room = (t.column(c).to_numpy() for c in ("place", "key", "n", "name", "room"))
-        sign = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(t), SKETCH)
+        sign = _unpacked(np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(t), -1))
         lists = t.column("keys").combine_chunks()
         fit = shared_before(key, np.split(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]))
         keep = pa.array(partnered(place, n, sign, name, room, np.zeros(len(t), dtype=bool), percent, fit))
@@ -416,7 +436,7 @@ def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts
     part = F.pmod(F.xxhash64("digest"), "parts").cast("int")
     left = left.join(size, "key").withColumn("to", F.explode(F.when(F.col("name") == F.col("major"), F.array(part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     keys = left.groupBy("doc", "digest").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # those of one document
-    left = left.join(keys, ["doc", "digest"]).join(sketches, ["doc", "digest"]).select(F.xxhash64("key", "to").alias("place"), *SHOWN[1:])
+    left = left.join(keys.join(sketches, ["doc", "digest"]), ["doc", "digest"]).select(F.xxhash64("key", "to").alias("place"), *SHOWN[1:])
     dealt = left.repartition(F.col("place")).sortWithinPartitions("place", "n")
     shown = "place long, doc long, digest long, n long, name long, room long"
     return _verified(written(dealt.mapInArrow(lambda b: nearer_batches(b, percent), shown)), texts, k, percent)
@@ -446,7 +466,6 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nodes = every.where("token IS NULL").select("doc_id", "n", "digest")
 
     index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), INDEX)
-    index = index.withColumns({"name": F.col("digest"), "room": F.col("digest"), "asks": F.lit(True), "guest": F.lit(False), "partner": F.lit(False)})
     found = with_partners(index, percent)
     # Texts move once; what follows reads those of documents that have a partner.
     held = texts.where("doc_id IS NOT NULL").mapInArrow(pack_batches, "doc long, text binary")
@@ -456,7 +475,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     label = components(links)
     named = found.select("doc", "digest").distinct().join(rooms, ["doc", "digest"], "left").join(label, F.col("doc") == label["node"], "left")
     named = written(named.select("doc", "digest", F.coalesce("component", "doc").alias("name"), F.coalesce("room", "digest").alias("room")))
-    sketches = every.where("sketch IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("short").alias("digest"), "sketch").distinct()
+    sketches = every.where("sketch IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("short").alias("digest"), "sketch")
+    sketches = sketches.join(named.select("doc", "digest"), ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"])
     more = written(_second_round(found, named, sketches, held, k, percent))
     # Equal sets meet at the least id of their digest.
     least = nodes.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))

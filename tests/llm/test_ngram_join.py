@@ -100,6 +100,16 @@ def test_partners_equal_all_pairs():
         assert (N.partnered(key, n, sign, name, room, guest, 80) == want).all()
 
 
+def test_gap_is_no_more_than_the_difference():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        pool = r.integers(0, 2**63, 600, dtype=np.uint64)
+        x, y = (np.unique(r.choice(pool, int(r.integers(1, 600)))) for _ in "xy")
+        packed = N._unpacked(np.stack([N._signature(x), N._signature(y)]))
+        assert (packed == np.stack([N._counts(x, N.BINS), N._counts(y, N.BINS)])).all()
+        assert N._gap(packed[:1], packed[1:])[0] <= len(np.setxor1d(x, y))
+
+
 def test_pairs_meet_at_their_least_key():
     r = np.random.default_rng(5)
     for _ in range(30):
