@@ -271,10 +271,12 @@ def dia_03(v):
 
 @query(
     "dia_11_cohort_joint",
-    "SELECT coalesce(experiment, 'joint') AS cohort, count(*) AS states, count(DISTINCT seed) AS chains, round(avg(cut_edges), 9) AS mean FROM v_trace WHERE step < 200 GROUP BY GROUPING SETS ((experiment), ())",
+    "SELECT coalesce(experiment, 'joint') AS cohort, count(*) AS states, count(DISTINCT seed) AS chains, round(avg(cut_edges), 9) AS mean FROM v_trace JOIN (SELECT experiment, min(n) AS n FROM (SELECT experiment, seed, count(*) AS n FROM v_trace GROUP BY 1, 2) GROUP BY 1) USING (experiment) WHERE step < n GROUP BY GROUPING SETS ((experiment), ())",
 )
 def dia_11(v):
-    g = v.trace.where("step < 200").rollup("experiment").agg(F.count("*").alias("states"), F.count_distinct("seed").alias("chains"), F.round(F.avg("cut_edges"), 9).alias("mean"))
+    # Cohorts pool equal steps: those of their shortest chain.
+    shortest = v.trace.groupBy("experiment", "seed").agg(F.count("*").alias("n")).groupBy("experiment").agg(F.min("n").alias("n"))
+    g = v.trace.join(shortest, "experiment").where("step < n").rollup("experiment").agg(F.count("*").alias("states"), F.count_distinct("seed").alias("chains"), F.round(F.avg("cut_edges"), 9).alias("mean"))
     return g.select(F.coalesce("experiment", F.lit("joint")).alias("cohort"), "states", "chains", "mean")
 
 
@@ -341,11 +343,22 @@ def int_05(v):
     return v.trace.join(F.broadcast(configured), "seed", "left_anti").groupBy("seed").agg(F.count("*").alias("states"))
 
 
-@query("int_08_replay", "WITH a AS (SELECT seed, step, dem_seats, cut_edges, plan_hash FROM v_trace WHERE step < 100) SELECT (SELECT count(*) FROM a) AS replayed, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM a)) AS differing")
+@query(
+    "int_08_replay",
+    """WITH a AS (SELECT seed, step, dem_seats, cut_edges, plan_hash FROM (SELECT *, max(step) OVER (PARTITION BY seed) AS last FROM v_trace) WHERE step > last - 100),
+    r AS (SELECT CAST(user_id % 4 AS INTEGER) AS seed, count(*) OVER w - row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts DESC, event_id DESC) AS step, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts DESC, event_id DESC) AS back, CAST(floor(value) AS BIGINT) % 15 AS dem_seats, 600 + event_id % 97 AS cut_edges, sha256(event_type || '|' || props) AS plan_hash FROM events WINDOW w AS (PARTITION BY user_id % 4)),
+    b AS (SELECT seed, step, dem_seats, cut_edges, plan_hash FROM r WHERE back <= 100)
+    SELECT (SELECT count(*) FROM a) AS replayed, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS differing""",
+)
 def int_08(v):
+    """The last 100 states of every chain, made again from the events counted back from the end."""
     cols = ["seed", "step", "dem_seats", "cut_edges", "plan_hash"]
-    a = v.trace.where("step < 100").select(cols)
-    b = type(v)(v.spark, v.sf_dir).trace.select(cols).where("step < 100")  # derived anew
+    last = v.trace.groupBy("seed").agg(F.max("step").alias("last"))
+    a = v.trace.join(last, "seed").where(F.col("step") > F.col("last") - 100).select(cols)
+    back = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("ts"), F.desc("event_id")))
+    b = v.table("events").withColumn("seed", (F.col("user_id") % 4).cast("int")).withColumn("back", back).join(last, "seed").where("back <= 100")
+    seats, cut = (F.floor("value") % 15).cast("int").alias("dem_seats"), (600 + F.col("event_id") % 97).cast("int").alias("cut_edges")
+    b = b.select("seed", (F.col("last") + 1 - F.col("back")).alias("step"), seats, cut, F.sha2(F.concat_ws("|", "event_type", "props"), 256).alias("plan_hash"))
     one = lambda df, n: df.agg(F.count("*").alias(n))
     return one(a, "replayed").crossJoin(one(a.exceptAll(b).unionByName(b.exceptAll(a)), "differing"))  # one row each
 

@@ -88,10 +88,9 @@ class Views:
     @cached_property
     def assign(self) -> DataFrame:
         """Checkpoints in long form: the units of each saved state with their district."""
-        saved = self.trace.where("step % 100 = 99 AND seed < 2 AND step < 400").select("experiment", "seed", "step")
+        saved = self.trace.where("step % 100 = 99").select("experiment", "seed", "step")
         district = ((F.col("node") + 3 * F.col("seed") + F.floor(F.col("step") / 100) * (F.col("node") % 7)) % DISTRICTS + 1).cast("int")
-        # At most eight saved states, by the filter.
-        return self.units.crossJoin(F.broadcast(saved)).select("experiment", "seed", "step", "node", "county", "totpop", "dem", "rep", district.alias("district"))
+        return self.units.crossJoin(saved).select("experiment", "seed", "step", "node", "county", "totpop", "dem", "rep", district.alias("district"))
 
 
 DUCK_VIEWS = f"""
@@ -121,4 +120,4 @@ v_trace AS (
     sha256(event_type || '|' || props) AS plan_hash FROM events),
 v_assign AS (
   SELECT experiment, seed, step, node, county, totpop, dem, rep, CAST((node + 3 * seed + (step // 100) * (node % 7)) % {DISTRICTS} + 1 AS INTEGER) AS district
-  FROM v_units, (SELECT experiment, seed, step FROM v_trace WHERE step % 100 = 99 AND seed < 2 AND step < 400))"""
+  FROM v_units, (SELECT experiment, seed, step FROM v_trace WHERE step % 100 = 99))"""
