@@ -42,10 +42,34 @@ def test_merges_equal_encoder(own):
 def test_whole_tokens_are_proved(own, library):
     r = random.Random(1)
     for s in r.sample(sorted(own.whole), 500):
-        assert own.merge(s.encode()) == [own.whole[s]]
+        assert own.merge(s.encode()) == [own.ids[s.encode()]]
     assert len(own.whole) > 40_000
 
 
+def test_parts_equal_library(own, library, monkeypatch):
+    """Texts cut at spaces and lines, with remembered parts, a small memory, and as pieces of a long text."""
+    texts = TEXTS + _random_texts(300) + ["a\n\n\nb c", "\nx", "x\n", "a \n b", "a\u00a0 b", "\u3000c d\n", "it's  two", "end.\r\nnext", "d'accord l'été, fin.", "a\x1cb \x1c c", "x" * 200 + " y" * 50]
+    for cache, piece in ((250_000, 1_000_000), (7, 1_000_000), (50, 40)):
+        monkeypatch.setattr(bpe, "CACHE", cache)
+        monkeypatch.setattr(bpe, "PIECES", cache)
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        counts, codes = bpe.counted(own), bpe.coded(own)
+        for t in texts:
+            want = library.encode(t, add_special_tokens=False).ids
+            assert sum(counts.of(t)) == len(want), t[:80]
+            got = np.frombuffer(b"".join(codes.of(t)), dtype="<u4")
+            assert got.tolist() == want, t[:80]
+            assert own.decoded(got) == t.encode()
+
+
+def test_merges_of_long_pieces(own, monkeypatch):
+    """The heap, for long pieces, and the list, for short ones, do the same."""
+    pieces = [p.encode() for t in TEXTS + _random_texts(100) for p in own._pre.findall(t)]
+    short = [own.merge(p) for p in pieces if len(p) <= bpe.LONGEST]
+    monkeypatch.setattr(bpe, "LONGEST", 0)
+    assert short == [own.merge(p) for p in pieces if len(p) <= 64]
+
+
 def test_round_trip(own):
     for t in TEXTS + _random_texts(100):
         assert own.decode(np.array(own.encode(t), dtype="<u4")) == t
