@@ -55,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a local one only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         found = tempfile.mkdtemp(prefix="mapstats-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
