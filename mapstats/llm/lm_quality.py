@@ -47,9 +47,10 @@ ORDER = 5
 QUANTILE = 0.995
 HOLD_OUT = 5
 SHORT = 64
-SLICE = 1 << 24  # characters of a slice, unless one text has more
+SLICE = 1 << 25  # characters of a slice, unless one text has more
 DOCS = 1 << 15  # documents of a slice
 BLOCK = 1 << 20  # characters looked at together
+PLACES = (1 << 22) - 1  # over twice BLOCK
 KINDS = 1 << 21  # n-grams that are kept apart before they are added up
 SHARDS = 64  # at least
 PAD = "￿"
@@ -124,31 +125,44 @@ def _texts(row: pa.Table) -> list[str]:
     return [raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def blocks(texts: list[str], langs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Code points; of each n-gram in them, which has one end at each character of the texts, its hash,
-    where it starts, and its text."""
-    before, held, size = ORDER - 1, [], 0
+class Block:
+    """Some n-grams of a slice, one that ends at each character of the texts: code points, where an n-gram
+    starts for each run of equal ones, their hashes and sizes, and whose they are, run after run."""
 
-    def laid():
-        n = np.array([len(p) - before for _, p in held], dtype=np.int64)
-        cp = np.frombuffer("".join(p for _, p in held).encode("utf-32-le"), dtype="<u4")
-        at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * before, n)
-        own = np.repeat(np.array([i for i, _ in held], dtype=np.int64), n)
-        h = langs[own].astype(U)
+    def __init__(self, held: list[tuple[int, str]], langs: np.ndarray):
+        doc = np.array([i for i, _ in held], dtype=np.uint32)
+        size = np.array([len(p) for _, p in held], dtype=np.int64)
+        before = ORDER - 1
+        self.cp = np.frombuffer("".join(p for _, p in held).encode("utf-32-le"), dtype="<u4")
+        wide = self.cp.astype(U)
+        many = len(wide) - before
+        h = np.repeat(langs[doc], size)[:many].astype(U)
         for k in range(ORDER):
-            h = (h ^ (h >> U(31))) * U(0x9E3779B97F4A7C15) + cp[at + k]
-        return cp, mix(h), at, own
-
+            h = (h ^ (h >> U(31))) * U(0x9E3779B97F4A7C15) + wide[k : k + many]
+        at = np.arange((size - before).sum()) + np.repeat(np.arange(len(doc)) * before, size - before)
+        h = mix(h[at])
+        # Sorted by the upper bits; runs are cut where any bit differs, so one n-gram may have several.
+        order = (np.sort((h & ~U(PLACES)) | np.arange(len(h), dtype=U)) & U(PLACES)).astype(np.int64)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        self.h, self.n = h[first], np.diff(np.concatenate([first, [len(h)]]))
+        self.at = at[order[first]]
+        self.first = first
+        self.own = np.repeat(doc.astype(np.uint16 if len(langs) <= 1 << 16 else np.uint32), size - before)[order]
+
+
+def blocks(texts: list[str], langs: np.ndarray) -> Iterator[Block]:
+    before, held, size = ORDER - 1, [], 0
     for i, t in enumerate(texts):
         for a in range(0, len(t), BLOCK):
             piece = (PAD * before if a == 0 else t[a - before : a]) + t[a : a + BLOCK]
             held.append((i, piece))
             size += len(piece)
             if size >= BLOCK:
-                yield laid()
+                yield Block(held, langs)
                 held, size = [], 0
     if held:
-        yield laid()
+        yield Block(held, langs)
 
 
 class Grams:
@@ -169,7 +183,7 @@ class Grams:
         if len(self.parts) != 1:
             empty = (np.zeros(0, dtype=U), np.zeros(0, dtype=np.uint8), np.zeros((0, ORDER), dtype="<u4"), np.zeros(0, dtype=np.int64))
             h, lang, cp, n = (np.concatenate(x) for x in zip(empty, *self.parts, strict=True))
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else order
             total = np.add.reduceat(n[order], first) if len(h) else n
             self.parts = [(h[order[first]], lang[order[first]], cp[order[first]], total)]
@@ -177,14 +191,11 @@ class Grams:
         return self.parts[0]
 
 
-def slice_grams(texts: list[str], langs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def slice_grams(parts: Iterable[Block], langs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams of a slice, by hash; each text counts as often as times says."""
     out = Grams()
-    for cp, h, at, own in blocks(texts, langs):
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        one = order[first]
-        out.add(h[one], langs[own[one]], cp[at[one][:, None] + np.arange(ORDER)], np.add.reduceat(times[own[order]], first))
+    for b in parts:
+        out.add(b.h, langs[b.own[b.first]], b.cp[b.at[:, None] + np.arange(ORDER)], np.add.reduceat(times[b.own], b.first))
     return out.merged()
 
 
@@ -208,7 +219,7 @@ def ask(held: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
         times = np.zeros(len(langs), dtype=np.int64)
         if len(marks):
             times[marks.column("pos").to_numpy()] = marks.column("times").to_numpy()
-        h, lang, cp, n = slice_grams(_texts(held), langs, times)
+        h, lang, cp, n = slice_grams(blocks(_texts(held), langs), langs, times)
         for shard, rows in _by_shard(h, shards):
             out["slice"].append(held.column("slice")[0].as_py())
             out["shard"].append(shard)
@@ -347,15 +358,20 @@ def score(held: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.int32()), "short": pa.array([], pa.bool_()), "perplexity": pa.array([], pa.float64())})
     langs = np.frombuffer(held.column("langs")[0].as_py(), dtype=np.uint8)
     sizes = np.frombuffer(held.column("sizes")[0].as_py(), dtype="<i8")
-    texts = _texts(held)
-    h = slice_grams(texts, langs, np.zeros(len(langs), dtype=np.int64))[0]
+    runs, known = [], []
+    for b in blocks(_texts(held), langs):
+        runs.append((b.h, b.n, b.own))
+        known.append(b.h)
+        if sum(map(len, known)) > KINDS + 2 * len(known[0]):
+            known = [np.unique(np.concatenate(known))]
+    h = np.unique(np.concatenate(known)) if known else np.zeros(0, dtype=U)
     logs = np.zeros(len(h), dtype=np.float64)
     got = dict(zip(answers.column("shard").to_pylist(), answers.column("logs").to_pylist(), strict=True))
     for shard, rows in _by_shard(h, shards):
         logs[rows] = np.frombuffer(got[shard], dtype="<f4")
     total = np.zeros(len(langs))
-    for _, own_h, _, own in blocks(texts, langs):
-        total += np.bincount(own, weights=logs[np.searchsorted(h, own_h)], minlength=len(langs))
+    for own_h, n, own in runs:
+        total += np.bincount(own, weights=np.repeat(logs[np.searchsorted(h, own_h)], n), minlength=len(langs))
     perplexity = np.exp(-total / np.maximum(sizes, 1))
     return pa.table({"doc_id": held.column("ids")[0].values, "lang": pa.array(langs.astype(np.int32)), "short": pa.array(sizes < SHORT), "perplexity": pa.array(perplexity, mask=sizes == 0)})
 

@@ -128,9 +128,9 @@ def test_classify(spark):
 
 def test_grams_of_a_long_text_in_blocks(monkeypatch):
     text, langs = prose(random.Random(3), 500) + "漢\U0001f600", np.zeros(1, dtype=np.uint8)
-    one = L.slice_grams([text], langs, np.ones(1, dtype=np.int64))
+    one = L.slice_grams(L.blocks([text], langs), langs, np.ones(1, dtype=np.int64))
     monkeypatch.setattr(L, "BLOCK", 97)
     monkeypatch.setattr(L, "KINDS", 40)
-    many = L.slice_grams([text], langs, np.ones(1, dtype=np.int64))
+    many = L.slice_grams(L.blocks([text], langs), langs, np.ones(1, dtype=np.int64))
     assert all((a == b).all() for a, b in zip(one, many, strict=True))
     assert Counter(dict(zip(L._strings(one[2]), one[3].tolist(), strict=True))) == Counter(grams(text))
