@@ -94,3 +94,29 @@ def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             held = [b for b in held if b.num_rows] + [batch.slice(last)]
     if held and any(b.num_rows for b in held):
         yield pa.Table.from_batches([b for b in held if b.num_rows])
+
+
+def pieces(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole groups of rows sorted by key (False), and pieces, one after the other, of single
+    groups of more rows than most (True)."""
+    held: list[pa.RecordBatch] = []
+    n, last, going = 0, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        at = int(np.searchsorted(k, last, side="right")) if last is not None and k[0] == last else 0
+        if at:
+            held.append(batch.slice(0, at))
+            n += at
+        if n and (going or n > most):
+            yield pa.Table.from_batches(held), True
+            held, n, going = [], 0, True
+        if at < len(k):
+            cut = int(np.searchsorted(k, k[-1], side="left"))
+            held.append(batch.slice(at, cut - at))
+            if n + cut - at:
+                yield pa.Table.from_batches(held), False
+            held, n, last, going = [batch.slice(cut)], len(k) - cut, k[-1], False
+    if n:
+        yield pa.Table.from_batches(held), going or n > most
