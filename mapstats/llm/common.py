@@ -85,6 +85,31 @@ def discard(spark: SparkSession, path: str) -> None:
         return
 
 
+def buckets(spark: SparkSession) -> int:
+    """How many buckets a table gets: the session's shuffle partitions, so that joins keep them."""
+    return min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Write to the shared folder as a table of n buckets by keys; joins on them read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"mapstats_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").option("path", path).bucketBy(n, *keys).saveAsTable(name)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    atexit.register(_drop, spark, name, path)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    discard(spark, path)
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session or its gateway has ended
+        return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

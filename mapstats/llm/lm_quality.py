@@ -29,17 +29,16 @@ empty table gives an empty table. Other columns, of any name, are left out.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shared_dir, ship, tidy, written
+from .common import bucketed, buckets, ship, tidy, written
 from .hashing import U, mix
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -100,25 +99,6 @@ def pack_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(rows)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write to the shared folder as a table bucketed by key; joins on key read it without a shuffle."""
-    spark = df.sparkSession
-    name = f"mapstats_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
-    atexit.register(_drop, spark, name, path)
-    return spark.table(name)
-
-
-def _drop(spark: SparkSession, name: str, path: str) -> None:
-    discard(spark, path)
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # the session or its gateway has ended
-        return
-
-
 def _texts(row: pa.Table) -> list[str]:
     raw = zstandard.decompress(row.column("texts")[0].as_py())
     ends = np.cumsum(np.frombuffer(row.column("bytes")[0].as_py(), dtype="<i8")).tolist()
@@ -380,7 +360,7 @@ def perplexities(slim: DataFrame, good: DataFrame) -> tuple[DataFrame, list[tupl
     """doc_id, lang, short, perplexity of slim(doc_id, lang, text), with the model trained on its documents
     in good(doc_id), a row each time one counts; and the model."""
     shards = max(SHARDS, int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = bucketed(slim.mapInArrow(pack_batches, HELD), "slice")
+    held = bucketed(slim.mapInArrow(pack_batches, HELD), buckets(slim.sparkSession), "slice")
     places = held.select(F.col("slice").alias("place"), F.posexplode("ids").alias("pos", "doc_id")).where("doc_id IS NOT NULL")
     # Labels grow with the documents, so this is a merge join at every size.
     marks = places.join(good.hint("merge"), "doc_id").groupBy("place", "pos").agg(F.count("*").alias("times"))

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import masked, ship, tidy, written
+from .common import bucketed, buckets, masked, ship, tidy, written
 from .hashing import U, grams, mix, pieces, signed, word_hashes
 
 WINDOW = 20
@@ -266,36 +266,56 @@ def subtree_batches(batches: Iterable[pa.RecordBatch], window: int, most: int) -
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    """docs with doc, part, th: the id, which of its texts this is, and a hash of the text."""
+    doc, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string"))
+    part = F.when(F.col("doc_id").isNull(), th).otherwise(F.pmod(th, F.lit(PARTS)))
+    return docs.select("*", doc.alias("doc"), part.alias("part"), th.alias("th"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, most: int = SUBTREE) -> DataFrame:
-    """Spans of window starts (doc, th, a to b) whose windows start earlier elsewhere."""
-    ship(docs.sparkSession)
-    keyed = _keyed(docs)
-    of_text = F.when(keyed["doc"] == LAST, keyed["th"]).otherwise(F.pmod(keyed["th"], F.lit(PARTS)))
+def _listed(rows: DataFrame, n: int, *what: str) -> DataFrame:
+    """What is said of each document's texts in one row, dealt as the texts are."""
+    dealt = rows.repartition(n, "doc", "part")
+    return dealt.groupBy(F.col("doc").alias("__doc"), F.col("part").alias("__part")).agg(F.collect_list(F.struct(*what)).alias("found"))
+
+
+def _joined(texts: DataFrame, said: DataFrame, how: str) -> DataFrame:
+    same = (F.col("doc") == F.col("__doc")) & (F.col("part") == F.col("__part"))
+    return texts.join(said.hint("merge"), same, how).drop("__doc", "__part")
+
+
+def held_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, text, doc, part, th as they come; the same in a table bucketed by doc and part; the number
+    of buckets. Texts are moved once, and what is said of them is moved to them."""
+    slim = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    n = buckets(docs.sparkSession)
+    return slim, bucketed(slim.repartition(n, "doc", "part"), n, "doc", "part"), n
+
+
+def repeats(slim: DataFrame, texts: DataFrame, n: int, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, most: int = SUBTREE) -> DataFrame:
+    """Spans of window starts (doc, part, th, a to b) whose windows start earlier elsewhere, of held_texts()."""
 
     def counted(places: DataFrame) -> DataFrame:
         dealt = places.repartition(F.col("g")).sortWithinPartitions("g")
         return written(dealt.mapInArrow(lambda b: prefix_batches(b, group), "doc long, th long, a long, b long"))
 
     def with_places(places: DataFrame) -> DataFrame:
-        mine = places.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__part")).agg(F.collect_list(F.struct("a", "n")).alias("found"))
-        return keyed.join(mine, (keyed["doc"] == mine["__doc"]) & (of_text == mine["__part"])).select("doc", "th", "text", "found")
+        mine = _listed(places.withColumnRenamed("th", "part"), n, "a", "n")
+        return _joined(texts.select("doc", "part", "th", "text"), mine, "inner").select("doc", "th", "text", "found")
 
-    found = counted(keyed.mapInArrow(lambda b: anchor_batches(b, window, prefix), "g long, doc long, th long, a long, b long"))
+    anchors = slim.select("doc", "th", "text").mapInArrow(lambda b: anchor_batches(b, window, prefix), "g long, doc long, th long, a long, b long")
+    found = counted(anchors)
     ready, level, at = found.where("b = -1").withColumn("n", F.lit(prefix)), found, prefix
-    for n in (*(x for x in LONGER if prefix < x < window), window):
+    for longer in (*(x for x in LONGER if prefix < x < window), window):
         large = level.where("b = -2").withColumn("n", F.lit(at))
         if large.isEmpty():
             break
-        level = counted(with_places(large).mapInArrow(lambda b, n=n: longer_batches(b, window, prefix, n), "g long, doc long, th long, a long, b long"))
-        ready, at = ready.unionByName(level.where("b = -1" if n < window else "b < 0").withColumn("n", F.lit(n))), n
+        level = counted(with_places(large).mapInArrow(lambda b, k=longer: longer_batches(b, window, prefix, k), "g long, doc long, th long, a long, b long"))
+        ready, at = ready.unionByName(level.where("b = -1" if longer < window else "b < 0").withColumn("n", F.lit(longer))), longer
     suffixes = with_places(ready).mapInArrow(lambda b: suffix_batches(b, window, prefix), "key long, doc long, th long, lo long, words binary")
     dealt = suffixes.repartition(F.col("key")).sortWithinPartitions("key", "doc", "th", "lo")
     later = written(dealt.mapInArrow(lambda b: subtree_batches(b, window, most), "doc long, th long, a long, b long"))
-    return found.where("b >= 0").unionByName(later)
+    spans = found.where("b >= 0").unionByName(later)
+    return spans.withColumn("part", F.when(F.col("doc") == LAST, F.col("th")).otherwise(F.pmod("th", F.lit(PARTS))))
 
 
 def _covered(n: int, spans, window: int) -> np.ndarray:
@@ -306,21 +326,20 @@ def _covered(n: int, spans, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _with_spans(docs: DataFrame, window: int, **options) -> DataFrame:
-    spans = repeats(docs, window, **options).groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
-    doc, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string"))
-    return docs.join(spans, (doc == F.col("__doc")) & (th == F.col("__th")), "left").drop("__doc", "__th")
+def _own(th: int, found) -> list[dict]:
+    return [e for e in found or () if e["th"] == th]
 
 
 def digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, digest = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("__spans").to_pylist(), strict=True):
+            for text, th, found in zip(*(batch.column(c) for c in ("text", "th")), batch.column("found").to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
-                if spans:
+                if spans := _own(th.as_py(), found):
                     covered = _covered(len(words), spans, window)
                     gone.append(int(covered.sum()))
                     n.append(len(words))
@@ -331,26 +350,31 @@ def digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(slim, window, **options).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    slim, texts, n = held_texts(docs)
+    said = _listed(repeats(slim, texts, n, window, **options), n, "th", "a", "b")
+    return _joined(texts, said, "left").select("doc_id", "text", "th", "found").mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduped(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """The same rows and columns without the repeats."""
+    ship(docs.sparkSession)
+    slim, texts, n = held_texts(docs)
+    said = _listed(repeats(slim, texts, n, window, **options), n, "th", "a", "b").withColumnRenamed("found", "__found")
     docs, back = masked(docs, "doc_id", "text")
     schema = docs.schema
+    keys = _keyed(docs).withColumnsRenamed({"th": "__th"})
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [c for c in batch.schema.names if c != "__spans"]
+            names = [c for c in batch.schema.names if c not in ("doc", "part", "__th", "__found")]
             arrays = [batch.column(c) for c in names]
             k, out = names.index("text"), []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                if spans:
+            for text, th, found in zip(*(batch.column(c).to_pylist() for c in ("text", "__th", "__found")), strict=True):
+                if spans := _own(th, found):
                     words = text.encode().split()
                     text = b" ".join(w for w, c in zip(words, _covered(len(words), spans, window).tolist(), strict=True) if not c).decode()
                 out.append(text)
             arrays[k] = pa.array(out, arrays[k].type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return back(_with_spans(docs, window, **options).mapInArrow(rows, schema))
+    return back(_joined(keys, said, "left").mapInArrow(rows, schema))
