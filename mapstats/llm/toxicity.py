@@ -100,9 +100,15 @@ class Matcher:
             if (start and text[start - 1].isalnum()) or (end + 1 < len(text) and text[end + 1].isalnum()):
                 continue
             (covers if k < 0 else found).append((start, end, k))
+        found.sort()
+        covers.sort()
         out: dict[int, int] = {}
+        at, reach = 0, -1  # of the phrases that start no later, how far they go
         for a, b, k in found:
-            if not any(x <= a and b <= y for x, y, _ in covers):
+            while at < len(covers) and covers[at][0] <= a:
+                reach = max(reach, covers[at][1])
+                at += 1
+            if b > reach:
                 out[k] = out.get(k, 0) + 1
         return out
 
