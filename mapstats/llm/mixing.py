@@ -149,7 +149,7 @@ def mixed(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataF
     shard shuffled; a document taken in part has that many of its words."""
     kinds = docs.schema
     docs, back = masked(docs, "doc_id", "source", "text", "n_chars")
-    got, n = _planned(_sized(docs), _sized(docs, *docs.columns), shards, seed)
+    got, n = _planned(written(_sized(docs)), _sized(docs, *docs.columns), shards, seed)
     whole = F.transform("__shards", lambda s: F.struct(s.alias("shard"), F.lit(None).cast("long").alias("part")))
     part = F.array(F.struct(F.col("__cut_shard").alias("shard"), F.col("__cut").alias("part")))
     takes = F.concat(whole, F.when(F.col("__cut") > 0, part).otherwise(F.array().cast("array<struct<shard:int,part:bigint>>")))
@@ -158,5 +158,5 @@ def mixed(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataF
     rows = rows.withColumn("text", F.when(short, F.array_join(F.slice(words(F.col("text")), 1, F.col("__take.part").cast("int")), " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(short, F.length("text").cast(kinds["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    dealt = rows.repartition(n, F.col("__take.shard"))
+    dealt = rows.repartitionById(n, F.col("__take.shard"))  # a shard a partition
     return back(dealt.sortWithinPartitions("__take.shard", _hash(seed + 2, F.col("__id"), F.col("__take.shard")), "__id", "__text"))
