@@ -1,9 +1,12 @@
 """Secret scans: three patterns, and two character Markov models compared by log-likelihood ratio.
 
-One model is of random strings, one of ordinary identifiers; both are trained from labelled
-samples that training_samples() draws with a fixed seed. A run of identifier characters is
-reported as "markov" if the mean log-likelihood ratio of its characters favours the random
-model by LIMIT and it overlaps none of the pattern matches.
+One model is of random strings, one of ordinary identifiers in four languages; both are trained
+from labelled samples that training_samples() draws with a fixed seed. Runs of LEAST or more
+identifier characters with a letter, with a digit or without, are scored. A run is reported as "markov" if
+the mean log-likelihood ratio of its characters is above the limit of its length and it
+overlaps none of the pattern matches. The limits come from labelled identifiers made of words
+that the models have not seen: of each length class, the ratio that a share of QUANTILE of
+them stays below, and LIMIT at least.
 
 Defined results: a null text counts as empty and has no spans (the digest of no bytes). Rows
 are independent, so ties, repeated rows and repeated ids stay as they are; an empty table
@@ -13,6 +16,7 @@ which writes over text and, where there is such a column, n_chars. Whole texts a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -32,36 +36,61 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Candidates of the models: runs of at least so many characters with a letter and a digit.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}")
+LEAST = 16  # characters of a candidate, and of the random strings that are learned
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 ORDER = 2
 LIMIT = 0.25  # nats a character
-SAMPLES = 4000  # labelled strings of each kind
-
-#: Parts that ordinary identifiers are made of.
-PARTS = """account action active address admin alias amount answer archive array attribute author balance base batch block body boolean border
+CLASSES = (16, 20, 26, 36, 52)  # least lengths that share a limit
+QUANTILE = 0.999
+SAMPLES = 8000  # labelled strings of each kind
+HELD_OUT = 4
+
+#: Parts that ordinary identifiers are made of, by language.
+PARTS = {
+    "en": """account action active address admin alias amount answer archive array attribute author balance base batch block body boolean border
 bottom branch buffer build button cache call cancel category center chain change channel char check child class clean click client clock close cluster code
 collect color column command comment commit config connect content context control convert copy count create current cursor custom data date debug default
 delete depth detail device digest direct document domain double download driver edge edit element email enable encode engine entry error event example
 export factory field file filter find first flag folder font format frame function group handle header height history home host image import index input
 install item iterator join json key label language last layer layout left length level library license limit line link list load local lock login machine
 manager map margin mask master match matrix memory menu merge message method minute mode model module month move name network node number object offset
-option order origin output owner package page panel parent partition password path pattern""".split()
-
-
-def training_samples(n: int = SAMPLES, seed: int = 7) -> tuple[list[str], list[str]]:
-    """Labelled strings: random ones over the usual alphabets, and identifiers joined from PARTS."""
+option order origin output owner package page panel parent partition password path pattern""",
+    "de": """abfrage absender adresse anfrage anmeldung antwort anzahl anzeige auftrag ausgabe auswahl bearbeitung benutzer bericht beschreibung bestellung betrag
+datei daten dienst drucker einstellung eingabe ereignis fehler feld fenster gesellschaft groesse grundlage hauptmann inhalt jahr kennung kennwort konto kunde kapitaen
+liste meldung nachricht nummer ordner pruefung quelle rechnung reihenfolge schluessel seite sicherheit speicher sprache stunde tabelle telefon uebersicht verbindung
+versicherung verwaltung verzeichnis vorlage wert woche zahlung zeichen zeile zeit ziel zugriff zustand dampf donau fahrt schiff schaft keit lich ung""",
+    "fr": """accueil adresse affichage annee appel article attente bouton bureau chaine champ chemin client commande compte connexion contenu couleur courriel demande
+dernier donnees dossier ecran element enregistrement entree erreur espace etat facture fenetre fichier fournisseur gestion groupe heure identifiant image jour langue
+ligne liste livraison message mise modele montant navigateur niveau nombre nouveau numero ordre page paiement parametre personne premier produit profil question
+recherche requete reseau resultat securite serveur service session sortie supprimer tableau taille telephone texte titre traitement utilisateur valeur ville""",
+    "es": """aplicacion archivo ayuda buscar cadena cambio campo cantidad carpeta ciudad clave cliente codigo columna conexion configuracion consulta contenido contrasena
+correo cuenta datos descripcion descarga direccion documento empresa entrada envio equipo error estado etiqueta factura fecha fila formulario fuente grupo idioma
+imagen informacion inicio lista llamada mensaje modelo navegador nivel nombre nuevo numero orden pagina pago pantalla pedido perfil persona primero producto prueba
+pregunta proveedor registro respuesta resultado salida seguridad servicio servidor sesion siguiente sistema tabla tamano tarea telefono texto titulo ultimo usuario valor""",
+}
+
+
+def training_samples(n: int = SAMPLES, seed: int = 7, held_out: bool = False) -> tuple[list[str], list[str]]:
+    """Labelled strings: random ones over the usual alphabets, and identifiers joined from PARTS; every
+    HELD_OUT-th part of a language is in held-out identifiers only, and they have no others."""
     r = random.Random(seed)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    alphabets = [upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "_-", upper + digits, lower + digits, digits + "abcdef"]
-    noise = ["".join(r.choice(alphabets[k % len(alphabets)]) for _ in range(r.randint(16, 64))) for k in range(n)]
+    alphabets = [upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "_-", upper + digits, lower + digits, digits + "abcdef", upper + lower, lower, upper]
+    noise = ["".join(r.choice(alphabets[k % len(alphabets)]) for _ in range(r.randint(LEAST, 64))) for k in range(n)]
+    parts_of = [[w for k, w in enumerate(words.split()) if (k % HELD_OUT == 0) == held_out] for words in PARTS.values()]
     plain = []
-    for k in range(n):
-        parts = [r.choice(PARTS) for _ in range(r.randint(2, 6))]
+    while len(plain) < n:
+        parts = [r.choice(parts_of[len(plain) % len(parts_of)]) for _ in range(r.randint(2, 7))]
+        style = r.randrange(8)
         if r.random() < 0.5:
             parts.insert(r.randint(1, len(parts)), str(r.randint(0, 10 ** r.randint(1, 4))))
-        style = k % 5
-        plain.append("_".join(parts) if style == 0 else "-".join(parts) if style == 1 else "/".join(parts) if style == 2 else "".join(p.capitalize() for p in parts) if style == 3 else "_".join(p.upper() for p in parts))
+        glue = ("_", "-", "/", "", "_", "", "", "-")[style]
+        cased = [str.lower, str.lower, str.lower, str.capitalize, str.upper, str.lower, str.upper, str.capitalize][style]
+        made = glue.join(map(cased, parts))
+        if style == 5:
+            made = made.capitalize() if r.random() < 0.5 else made
+        if len(made) >= LEAST:
+            plain.append(made)
     return noise, plain
 
 
@@ -98,7 +127,18 @@ class Markov:
 class Scanner:
     def __init__(self, samples: int = SAMPLES, limit: float = LIMIT):
         noise, plain = training_samples(samples)
-        self.noise, self.plain, self.limit = Markov(noise), Markov(plain), limit
+        self.noise, self.plain = Markov(noise), Markov(plain)
+        by_class: list[list[float]] = [[] for _ in CLASSES]
+        for x in training_samples(samples, seed=8, held_out=True)[1]:
+            by_class[self.length_class(x)].append(self.ratio(x))
+        self.limits = [max(limit, sorted(v)[min(len(v) - 1, int(len(v) * QUANTILE))]) if v else limit for v in by_class]
+
+    @staticmethod
+    def length_class(s: str) -> int:
+        return max(0, bisect.bisect_right(CLASSES, len(s)) - 1)
+
+    def random(self, s: str) -> bool:
+        return self.ratio(s) > self.limits[self.length_class(s)]
 
     def ratio(self, s: str) -> float:
         """Mean log-likelihood ratio per character; above 0, the random model is likelier."""
@@ -119,7 +159,7 @@ class Scanner:
             while k < len(base) and base[k][0] < m.end():
                 reach = max(reach, base[k][2])
                 k += 1
-            if reach <= m.start() and self.ratio(m[0]) > self.limit:
+            if reach <= m.start() and self.random(m[0]):
                 more.append((m.start(), 3, m.end()))
         return base, sorted(base + more)
 
