@@ -155,7 +155,7 @@ class Grams:
     def add(self, h: np.ndarray, lang: np.ndarray, cp: np.ndarray, n: np.ndarray) -> None:
         self.parts.append((h, lang, cp, n))
         self.size += len(h)
-        if self.size > KINDS + 2 * self.least:
+        if self.size > KINDS + self.least:
             self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
