@@ -1,7 +1,7 @@
 """Planar geometry on rings of coordinates: measures, validity, clipping, boundaries, adjacency.
 
-Polygons travel as WKB. Everything here is exact up to floating point for simple polygons;
-intersections are of convex clips (Sutherland-Hodgman), which covers grids, boxes and cells.
+Polygons travel as WKB. Everything here looks at one shape, or two, at a time, as helpers of Spark jobs; clips are
+of convex windows. Overlays of shapes of any form are joins: see mapstats.operators.overlay.
 """
 
 from __future__ import annotations
@@ -37,6 +37,29 @@ def rings_of(wkb: bytes) -> list[Ring]:
     return out
 
 
+def wkb_multi(parts: list[list[Ring]]) -> bytes:
+    """One polygon, or several as a multipolygon."""
+    if len(parts) == 1:
+        return wkb_polygon(parts[0])
+    return struct.pack("<BII", 1, 6, len(parts)) + b"".join(map(wkb_polygon, parts))
+
+
+def parts_of(wkb: bytes) -> list[list[Ring]]:
+    """The polygons of a polygon or multipolygon."""
+    mark = "<" if wkb[0] == 1 else ">"
+    kind, n = struct.unpack(f"{mark}II", wkb[1:9])
+    if kind == 3:
+        return [rings_of(wkb)] if n else []
+    if kind != 6:
+        raise ValueError(f"WKB type {kind} is no polygon or multipolygon")
+    at, out = 9, []
+    for _ in range(n):
+        rings = rings_of(wkb[at:])
+        out.append(rings)
+        at += 9 + sum(4 + 16 * len(r) for r in rings)
+    return out
+
+
 def closed(ring: Ring) -> Ring:
     return ring if ring and ring[0] == ring[-1] else [*ring, *ring[:1]]
 
@@ -55,13 +78,20 @@ def length(rings: list[Ring]) -> float:
     return sum(math.dist(p, q) for r in rings for p, q in zip(closed(r), closed(r)[1:], strict=False))
 
 
-def centroid(ring: Ring) -> tuple[float, float] | None:
-    a = signed_area(ring)
-    if a == 0:
-        return None
-    r = np.array(closed(ring))
-    cross = r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]
-    return float(((r[:-1, 0] + r[1:, 0]) * cross).sum() / (6 * a)), float(((r[:-1, 1] + r[1:, 1]) * cross).sum() / (6 * a))
+def centroid(parts: list[list[Ring]]) -> tuple[float, float] | None:
+    """Of all parts, holes taken out."""
+    total, mx, my = 0.0, 0.0, 0.0
+    for rings in parts:
+        for k, ring in enumerate(rings):
+            r = np.array(closed(ring))
+            if len(r) < 4:
+                continue
+            cross = r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]
+            sign = (1 if k == 0 else -1) * (1 if cross.sum() > 0 else -1)
+            total += sign * float(cross.sum()) / 2
+            mx += sign * float(((r[:-1, 0] + r[1:, 0]) * cross).sum()) / 6
+            my += sign * float(((r[:-1, 1] + r[1:, 1]) * cross).sum()) / 6
+    return (mx / total, my / total) if total else None
 
 
 def contains(rings: list[Ring], x: float, y: float) -> bool:
@@ -74,31 +104,229 @@ def contains(rings: list[Ring], x: float, y: float) -> bool:
     return inside
 
 
-def fault(rings: list[Ring]) -> str | None:
-    """Why a polygon is not valid; None if it is."""
-    if not rings or not rings[0]:
+def _edges(rings: list[Ring]) -> np.ndarray:
+    """n x 4: the edges of all rings that have a length."""
+    e = [(*p, *q) for r in rings for p, q in zip(closed(r), closed(r)[1:], strict=False) if p != q]
+    return np.array(e, dtype=float).reshape(-1, 4)
+
+
+def _sides(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each edge (rows), on which side points (columns) lie: 1, 0 or -1; 0 within rounding."""
+    ax, ay, bx, by = (e[:, k, None] for k in range(4))
+    turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    slack = 1e-12 * (np.abs(bx - ax) + np.abs(by - ay)) * (np.abs(np.concatenate([x.ravel(), y.ravel()])).max(initial=1.0) + 1)
+    return np.where(np.abs(turn) <= slack, 0, np.sign(turn)).astype(int)
+
+
+def _contacts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of pairs of edges: that cross inside both, and that lie on one another for a stretch."""
+    start, end = _sides(e, e[None, :, 0], e[None, :, 1]), _sides(e, e[None, :, 2], e[None, :, 3])
+    apart = start * end < 0
+    flat = (start == 0) & (end == 0)
+    d = e[:, 2:] - e[:, :2]
+    size = np.maximum((d**2).sum(1), 1e-300)
+    along = lambda c: ((e[None, :, c : c + 2] - e[:, None, :2]) * d[:, None]).sum(2) / size[:, None]
+    s, t = along(0), along(2)
+    lies = flat & (np.minimum(np.maximum(s, t), 1) - np.maximum(np.minimum(s, t), 0) > 1e-9)
+    np.fill_diagonal(lies, False)
+    return apart & apart.T, lies
+
+
+def fault(parts: list[list[Ring]]) -> str | None:
+    """Why a polygon or multipolygon is not valid; None if it is."""
+    rings = [r for rings in parts for r in rings]
+    if not rings or not all(rings and rings[0] for rings in parts):
         return "empty"
     for r in rings:
         if not all(math.isfinite(c) for p in r for c in p):
             return "non-finite coordinate"
         if len(set(r)) < 3:
             return "too few points"
+    for r in rings:
+        cross, lies = _contacts(_edges([r]))
+        if cross.any():
+            return "self-intersection"
+        if lies.any():
+            return "spike"
         if signed_area(r) == 0:
             return "no area"
-        e = list(zip(closed(r), closed(r)[1:], strict=False))
-        for i in range(len(e)):
-            for j in range(i + 2, len(e)):
-                if (i, j) != (0, len(e) - 1) and _cross(*e[i], *e[j]):
-                    return "self-intersection"
+    cross, lies = _contacts(_edges(rings))
+    if cross.any() or lies.any():
+        return "rings cross"
+    for k, own in enumerate(parts):
+        if not all(_within(hole, own[0]) for hole in own[1:]):
+            return "hole outside its shell"
+        if any(_within(a, b) for i, a in enumerate(own[1:]) for j, b in enumerate(own[1:]) if i != j):
+            return "nested holes"
+        if any(_within(own[0], other[0]) and not any(_within(own[0], h) for h in other[1:]) for j, other in enumerate(parts) if j != k):
+            return "nested parts"
     return None
 
 
-def _turn(a, b, c) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+def _within(inner: Ring, outer: Ring) -> bool:
+    """Whether a ring lies in another that it does not cross: any of its points off the other's line tells."""
+    e = _edges([outer])
+    for x, y in inner:
+        on = (_sides(e, np.array([[x]]), np.array([[y]])) == 0)[:, 0] & (np.minimum(e[:, 0], e[:, 2]) <= x) & (x <= np.maximum(e[:, 0], e[:, 2])) & (np.minimum(e[:, 1], e[:, 3]) <= y) & (y <= np.maximum(e[:, 1], e[:, 3]))
+        if not on.any():
+            return contains([outer], x, y)
+    return True
+
+
+def _noded(e: np.ndarray) -> set[tuple]:
+    """The edges cut where they meet one another, each as an ordered pair of points; what lies twice goes."""
+    marks: list[dict[float, tuple[float, float]]] = [{0.0: tuple(x[:2].tolist()), 1.0: tuple(x[2:].tolist())} for x in e]
+    cross, _ = _contacts(e)
+    d = e[:, 2:] - e[:, :2]
+    for i, j in np.argwhere(np.triu(cross)).tolist():
+        t = ((e[j, 0] - e[i, 0]) * d[j, 1] - (e[j, 1] - e[i, 1]) * d[j, 0]) / (d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0])
+        p = (float(e[i, 0] + t * d[i, 0]), float(e[i, 1] + t * d[i, 1]))
+        for k in (i, j):
+            marks[k][float(((np.array(p) - e[k, :2]) * d[k]).sum() / (d[k] ** 2).sum())] = p
+    points = np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0)
+    near = _sides(e, points[None, :, 0], points[None, :, 1]) == 0
+    for k, j in np.argwhere(near).tolist():
+        t = float(((points[j] - e[k, :2]) * d[k]).sum() / (d[k] ** 2).sum())
+        if 0 < t < 1:
+            marks[k][t] = (float(points[j, 0]), float(points[j, 1]))
+    kept: set[tuple] = set()
+    for own in marks:
+        line = [own[t] for t in sorted(own)]
+        for p, q in zip(line, line[1:], strict=False):
+            if p != q:
+                kept ^= {(min(p, q), max(p, q))}
+    return kept
+
+
+def _faces(edges: set[tuple]) -> list[Ring]:
+    """Rings around what lies inside by the even-odd rule, with the inside to their left. Rings that only touch in a
+    point stay rings of their own."""
+    if not edges:
+        return []
+    e = np.array(sorted((*p, *q) for p, q in edges))
+    steep = e[:, 0] == e[:, 2]
+    mx, my = (e[:, 0] + e[:, 2]) / 2, (e[:, 1] + e[:, 3]) / 2
+    ax, ay, bx, by = (e[:, k, None] for k in range(4))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        below = ((ax <= mx) & (mx < bx) & (ay + (mx - ax) * (by - ay) / (bx - ax) < my)).astype(int)
+        low, high = np.minimum(ay, by), np.maximum(ay, by)
+        left = ((low <= my) & (my < high) & (ax + (my - ay) * (bx - ax) / (by - ay) < mx)).astype(int)
+    np.fill_diagonal(below, 0)
+    np.fill_diagonal(left, 0)
+    # An edge has the inside above it (or, if it goes straight up, to its right) where an even number lies before it.
+    forward = np.where(steep, left.sum(0) % 2 == 1, below.sum(0) % 2 == 0)
+    out: dict[tuple, list[tuple]] = {}
+    for k, x in enumerate(e.tolist()):
+        p, q = (tuple(x[:2]), tuple(x[2:])) if forward[k] else (tuple(x[2:]), tuple(x[:2]))
+        out.setdefault(p, []).append(q)
+    rings = []
+    while out:
+        start = min(out)
+        ring, at = [start], start
+        back = None
+        while True:
+            ways = out[at]
+            if back is None:
+                to = min(ways)
+            else:
+                turned = lambda w: (math.atan2(back[1] - at[1], back[0] - at[0]) - math.atan2(w[1] - at[1], w[0] - at[0])) % (2 * math.pi)  # noqa: B023, E731
+                to = min(ways, key=lambda w: turned(w) or 2 * math.pi)
+            ways.remove(to)
+            if not ways:
+                del out[at]
+            ring.append(to)
+            if to == start:
+                break
+            back, at = at, to
+        rings += _loops(ring)
+    return rings
+
+
+def _loops(ring: Ring) -> list[Ring]:
+    """A closed ring that touches itself as rings that do not."""
+    out, path, place = [], [], {}
+    for p in ring:
+        if p in place:
+            out.append([*path[place[p] :], p])
+            for x in path[place[p] + 1 :]:
+                del place[x]
+            del path[place[p] + 1 :]
+        else:
+            place[p] = len(path)
+            path.append(p)
+    return out
+
+
+def rebuilt(parts: list[list[Ring]]) -> list[list[Ring]]:
+    """Valid polygons of the same area by the even-odd rule: noded, and their rings traced anew."""
+    rings = _faces(_noded(_edges([r for rings in parts for r in rings])))
+    shells = sorted((r for r in rings if signed_area(r) > 0), key=signed_area)
+    out = [[r] for r in shells]
+    for hole in (r for r in rings if signed_area(r) < 0):
+        next(x for x, shell in zip(out, shells, strict=True) if abs(signed_area(hole)) < signed_area(shell) and _within(hole, shell)).append(hole)
+    return sorted(out)
+
+
+def displacement(before: list[list[Ring]], after: list[list[Ring]]) -> float:
+    """How far a corner of either lies from the lines of the other, at most."""
+    a, b = ([r for rings in parts for r in rings] for parts in (before, after))
+
+    def away(points: list[Ring], rings: list[Ring]) -> float:
+        p, e = np.array([x for r in points for x in r]), _edges(rings)
+        if not len(p) or not len(e):
+            return math.inf
+        d = e[:, 2:] - e[:, :2]
+        t = np.clip(((p[:, None] - e[None, :, :2]) * d).sum(2) / (d**2).sum(1), 0, 1)
+        return float(np.sqrt(((e[None, :, :2] + t[..., None] * d - p[:, None]) ** 2).sum(2)).min(1).max())
+
+    return max(away(a, b), away(b, a))
+
+
+REPAIR = "reason string, outcome string, parts int, area_before double, area_after double, displacement double, repaired binary"
 
 
-def _cross(a, b, c, d) -> bool:
-    return _turn(a, b, c) * _turn(a, b, d) < 0 and _turn(c, d, a) * _turn(c, d, b) < 0
+def repairs(shapes: DataFrame, authorised: list | None = None, most_displaced: float = 0.0, types: tuple[str, ...] = ("Polygon",), key: str = "id") -> DataFrame:
+    """Invalid shapes with what became of them: `repaired`, or `refused:` and why. Only those of the list are repaired,
+    if one is given; a repair may not change the type to one that is not in `types`, nor move a corner further than
+    `most_displaced`. Areas before are those inside by the even-odd rule in sum of rings (holes less)."""
+    kind = dict(shapes.dtypes)[key]
+    allowed = None if authorised is None else set(authorised)
+
+    def one(k, wkb: bytes | None) -> tuple | None:
+        before = parts_of(wkb) if wkb else []
+        why = fault(before)
+        if why is None:
+            return None
+        size = sum(area(rings) for rings in before)
+        if allowed is not None and k not in allowed:
+            return why, "refused: not authorised", len(before), size, None, None, None
+        if why in ("empty", "non-finite coordinate"):
+            return why, f"refused: {why}", len(before), size, None, None, None
+        after = rebuilt(before)
+        if not after or fault(after) is not None:
+            return why, "refused: nothing valid is left", len(after), size, None, None, None
+        moved, kind_ = displacement(before, after), "Polygon" if len(after) == 1 else "MultiPolygon"
+        done = (len(after), size, sum(area(rings) for rings in after), moved)
+        if kind_ not in types:
+            return why, f"refused: becomes a {kind_}", *done, None
+        if moved > most_displaced:
+            return why, "refused: moves a boundary", *done, None
+        return why, "repaired", *done, wkb_multi(after)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in REPAIR.split(", ")]
+        types_ = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
+        for batch in batches:
+            keys = batch.column(key).to_pylist()
+            got = [(k, r) for k, w in zip(keys, batch.column("wkb").to_pylist(), strict=True) if (r := one(k, w)) is not None]
+            cols = [pa.array([k for k, _ in got], batch.column(key).type), *[pa.array([r[i] for _, r in got], t) for i, t in enumerate(types_)]]
+            yield pa.RecordBatch.from_arrays(cols, [key, *names])
+
+    return shapes.select(key, "wkb").mapInArrow(run, f"{key} {kind}, {REPAIR}")
+
+
+def _turn(a, b, c) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
 
 def clip(subject: Ring, convex: Ring) -> Ring:
@@ -171,11 +399,12 @@ def measures(shapes: DataFrame, key: str = "id") -> DataFrame:
         for batch in batches:
             cols: list[list] = [[] for _ in range(9)]
             for w in batch.column("wkb").to_pylist():
-                r = rings_of(w) if w else []
-                why = fault(r)
-                p = np.array(r[0]) if r and r[0] else None
-                c = centroid(r[0]) if p is not None else None
-                row = (area(r), length(r), *(c or (None, None)), *((*map(float, p.min(axis=0)), *map(float, p.max(axis=0))) if p is not None else [None] * 4), why)
+                parts = parts_of(w) if w else []
+                r = [ring for rings in parts for ring in rings]
+                why = fault(parts)
+                p = np.array([x for rings in parts for x in rings[0]]) if r and r[0] else None
+                c = centroid(parts) if p is not None else None
+                row = (sum(area(rings) for rings in parts), length(r), *(c or (None, None)), *((*map(float, p.min(axis=0)), *map(float, p.max(axis=0))) if p is not None else [None] * 4), why)
                 for col, value in zip(cols, row, strict=True):
                     col.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(c, pa.float64()) for c in cols[:8]], pa.array(cols[8], pa.string())], names=[key, *[m.split()[0] for m in MEASURES.split(", ")]])

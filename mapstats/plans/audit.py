@@ -85,41 +85,7 @@ def snk_06(v):
     return v.spark.read.parquet(path).groupBy("seed", F.col("next_step").cast("long").alias("next_step")).agg(F.count("*").alias("units"))
 
 
-# --- overlays ---
-
-
-def strips(v) -> DataFrame:
-    """Five vertical strips over the grid, in place of district polygons."""
-    width = 25 / 5
-    n = v.units.agg(F.max("node")).first()[0] or 0
-    top = n // 25 + 1
-    rows = [(k, G.wkb_polygon([[(k * width, 0.0), ((k + 1) * width, 0.0), ((k + 1) * width, float(top)), (k * width, float(top)), (k * width, 0.0)]])) for k in range(5)]
-    return v.spark.createDataFrame(rows, "id long, wkb binary")
-
-
-@query("j_16_overlay", "SELECT c_custkey AS unit, (c_custkey % 25) // 5 AS strip, 1.0::DOUBLE AS area FROM customer")
-def j_16(v):
-    units = boxes(v)
-    both = units.withColumn("id", F.col("id") + 5).unionByName(strips(v))
-    pairs = G.neighbours(both, 5.0).where("a < 5 AND b >= 5 AND overlap > 1e-9")
-    return pairs.select((F.col("b") - 5).alias("unit"), F.col("a").alias("strip"), F.round("overlap", 9).alias("area"))
-
-
-@query("geo_03_union", "SELECT plan, district, count(*)::DOUBLE AS area FROM v_plans GROUP BY 1, 2")
-def geo_03(v):
-    m = G.measures(boxes(v)).select(F.col("id").alias("node"), "area")
-    return v.plans.join(m, "node").groupBy("plan", "district").agg(F.round(F.sum("area"), 6).alias("area"))  # units don't overlap (geo_05)
-
-
-@query("geo_04_coverage", "SELECT (c_custkey % 25) // 5 AS strip, count(*)::DOUBLE AS covered, TRUE AS within_tolerance FROM customer GROUP BY 1")
-def geo_04(v):
-    c = j_16(v).groupBy("strip").agg(F.sum("area").alias("covered"), F.count("*").alias("n"))
-    return c.select("strip", F.round("covered", 6).alias("covered"), (F.abs(F.col("covered") - F.col("n")) <= F.greatest(F.lit(1e-3), 1e-6 * F.col("n"))).alias("within_tolerance"))
-
-
-@query("geo_05_overlaps", "SELECT 0::BIGINT AS overlapping, 0.0::DOUBLE AS overlap_area")
-def geo_05(v):
-    return G.neighbours(boxes(v), 5.0).agg(F.count_if(F.col("overlap") > 1e-9).alias("overlapping"), F.sum("overlap").alias("overlap_area"))
+# --- geometry ---
 
 
 @query("geo_07_units_factor", "SELECT c_custkey AS id, round(0.3048006096012192::DOUBLE * 0.3048006096012192::DOUBLE, 12) AS square_metres FROM customer")
@@ -128,11 +94,6 @@ def geo_07(v):
     return G.measures(boxes(v)).select("id", F.round(F.col("area") * foot * foot, 12).alias("square_metres"))
 
 
-@query("geo_09_parts", "SELECT plan, district, 1::BIGINT AS parts FROM v_plans WHERE plan = 'cols' GROUP BY 1, 2")
-def geo_09(v):
-    return graph.district_components(v.edges, v.plans.where("plan = 'cols'"), "plan").select("plan", "district", F.col("components").alias("parts"))
-
-
 @query("geo_10_population_field", "SELECT count(*) AS units, count(*) AS equal FROM v_units")
 def geo_10(v):
     master = v.blocks.groupBy(F.col("unit_node").alias("id")).agg(F.sum("totpop").alias("master"))

@@ -194,11 +194,6 @@ def geo_06(v):
     return G.measures(boxes(v)).select("id", "area", "length", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("geo_01_validity", "SELECT count(*) AS polygons, 0::BIGINT AS faults FROM customer")
-def geo_01(v):
-    return G.measures(boxes(v)).agg(F.count("*").alias("polygons"), F.count("fault").alias("faults"))
-
-
 @query("gra_02_boundary_adjacency", "SELECT src AS a, dst AS b FROM v_edges")
 def gra_02(v):
     return G.neighbours(boxes(v), 5.0).where("shared > 1e-9").select("a", "b")
