@@ -46,8 +46,8 @@ ORDER = 5
 QUANTILE = 0.995
 HOLD_OUT = 5
 SHORT = 64
-SLICE = 1 << 25  # characters of a slice, unless one text has more
-DOCS = 1 << 15  # documents of a slice
+SLICE = 1 << 24  # characters of a slice, unless one text has more
+DOCS = 1 << 14  # documents of a slice
 BLOCK = 1 << 20  # characters looked at together
 PLACES = (1 << 22) - 1  # over twice BLOCK
 KINDS = 1 << 21  # n-grams that are kept apart before they are added up
