@@ -46,12 +46,13 @@ ORDER = 5
 QUANTILE = 0.995
 HOLD_OUT = 5
 SHORT = 64
-SLICE = 1 << 24  # characters of a slice, unless one text has more
+SLICE = 5 << 22  # characters of a slice, unless one text has more
 DOCS = 1 << 14  # documents of a slice
 BLOCK = 1 << 20  # characters looked at together
 PLACES = (1 << 22) - 1  # over twice BLOCK
 KINDS = 1 << 21  # n-grams that are kept apart before they are added up
 SHARDS = 64  # at least
+LEVEL = 9  # of compression
 PAD = "￿"
 
 
@@ -78,7 +79,7 @@ def _packed(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
         "langs": bytes(lang for _, lang, _ in rows),
         "sizes": np.array([len(t) for _, _, t in rows], dtype="<i8").tobytes(),
         "bytes": np.array([len(b) for b in raw], dtype="<i8").tobytes(),
-        "texts": zstandard.compress(b"".join(raw), 3),
+        "texts": zstandard.compress(b"".join(raw), LEVEL),
     }
     return pa.RecordBatch.from_arrays([_column(c, [x]) for c, x in one.items()], names=list(one))
 
@@ -204,9 +205,9 @@ def ask(held: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
             out["slice"].append(held.column("slice")[0].as_py())
             out["shard"].append(shard)
             out["hashed"].append(len(rows))
-            out["langs"].append(zstandard.compress(lang[rows].tobytes(), 3))
-            out["grams"].append(zstandard.compress(cp[rows].T.tobytes(), 3))
-            out["times"].append(zstandard.compress(n[rows].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3))
+            out["langs"].append(zstandard.compress(lang[rows].tobytes(), LEVEL))
+            out["grams"].append(zstandard.compress(cp[rows].T.tobytes(), LEVEL))
+            out["times"].append(zstandard.compress(n[rows].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), LEVEL))
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)})
 
