@@ -174,16 +174,30 @@ def _within(inner: Ring, outer: Ring) -> bool:
 
 
 def _noded(e: np.ndarray) -> set[tuple]:
-    """The edges cut where they meet one another, each as an ordered pair of points; what lies twice goes."""
+    """The edges cut where they meet one another, each as an ordered pair of points; what lies twice goes. Points
+    closer than rounding errors become one."""
+    same: dict[tuple[int, int], tuple[float, float]] = {}
+    grid = 1e-10 * (np.abs(e).max(initial=1.0) + 1)
+
+    def node(p: tuple[float, float]) -> tuple[float, float]:
+        x, y = round(p[0] / grid), round(p[1] / grid)
+        for a in (x, x - 1, x + 1):
+            for b in (y, y - 1, y + 1):
+                if (a, b) in same:
+                    return same[a, b]
+        return same.setdefault((x, y), p)
+
+    for p in np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0).tolist():
+        node(tuple(p))
     marks: list[dict[float, tuple[float, float]]] = [{0.0: tuple(x[:2].tolist()), 1.0: tuple(x[2:].tolist())} for x in e]
     cross, _ = _contacts(e)
     d = e[:, 2:] - e[:, :2]
     for i, j in np.argwhere(np.triu(cross)).tolist():
         t = ((e[j, 0] - e[i, 0]) * d[j, 1] - (e[j, 1] - e[i, 1]) * d[j, 0]) / (d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0])
-        p = (float(e[i, 0] + t * d[i, 0]), float(e[i, 1] + t * d[i, 1]))
+        p = node((float(e[i, 0] + t * d[i, 0]), float(e[i, 1] + t * d[i, 1])))
         for k in (i, j):
             marks[k][float(((np.array(p) - e[k, :2]) * d[k]).sum() / (d[k] ** 2).sum())] = p
-    points = np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0)
+    points = np.array(sorted(set(same.values())))
     near = _sides(e, points[None, :, 0], points[None, :, 1]) == 0
     for k, j in np.argwhere(near).tolist():
         t = float(((points[j] - e[k, :2]) * d[k]).sum() / (d[k] ** 2).sum())

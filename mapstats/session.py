@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "mapstats", cores: int | str = 8, shuffle_partitions: int = 8, checkpoint_dir: str | None = None, memory: str = "6g") -> SparkSession:
@@ -31,8 +33,25 @@ def workspace(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         base = tempfile.mkdtemp(prefix="mapstats-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Cut lineage: write below the workspace and read again. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = workspace(spark)
+    df.write.parquet(path)
+    atexit.register(_discard, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session or its gateway has ended
+        return
