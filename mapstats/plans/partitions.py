@@ -6,7 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapstats.operators import graph, metrics as M, partition as P
+from mapstats.operators.components import district_components
+from mapstats.operators.ordering import at_places, cumulative
+from mapstats.session import materialised
+from mapstats.sources.views import DISTRICTS
 
+from .chains import WARMUP
 from .registry import query
 
 D_SUMS = "d AS (SELECT experiment, seed, step, district, count(*) AS units, sum(totpop)::BIGINT AS totpop, sum(dem)::BIGINT AS dem, sum(rep)::BIGINT AS rep FROM v_assign GROUP BY 1, 2, 3, 4)"
@@ -160,46 +165,61 @@ def par_03(v):
     return P.variation_of_information(both, "pair")
 
 
-PAIRS_SQL = """c AS (SELECT seed, step, row_number() OVER (ORDER BY seed, step) AS i FROM (SELECT DISTINCT seed, step FROM v_assign)), n AS (SELECT i, a.seed, a.step, node, district, totpop FROM v_assign a JOIN c ON a.seed = c.seed AND a.step = c.step),
+PAIRS_SQL = """c AS (SELECT t.seed, step, start, row_number() OVER (ORDER BY t.seed, step) AS i FROM v_trace t JOIN (SELECT seed, arg_min(plan_hash, step) AS start FROM v_trace GROUP BY 1) f ON f.seed = t.seed WHERE step % 100 = 99), n AS (SELECT i, a.seed, a.step, node, district, totpop FROM v_assign a JOIN c ON a.seed = c.seed AND a.step = c.step),
     s AS (SELECT a.i, b.i AS j, a.district AS x, b.district AS y, a.totpop FROM n a JOIN n b ON a.node = b.node AND a.i < b.i)"""
 LAG_SQL = "CASE WHEN lag = 0 THEN '0' WHEN lag < 500 THEN '1-499' WHEN lag < 1000 THEN '500-999' WHEN lag < 2000 THEN '1000-1999' ELSE '2000+' END"
 
 
+def all_pairs(v):
+    starts = v.trace.groupBy("seed").agg(F.min_by("plan_hash", "step").alias("start"))
+    return P.all_pairs(v.assign, v.saved, starts, DISTRICTS, WARMUP)
+
+
 @query(
     "par_05_all_pairs",
-    f"WITH {PAIRS_SQL}, {VI_SQL.format(keys='i, j')}, l AS (SELECT d.*, a.seed = b.seed AS same_chain, abs(a.step - b.step) AS lag FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j) SELECT i, j, same_chain, {LAG_SQL} AS lag_group, round(unit_vi, 8) AS unit_vi, round(pop_vi, 8) AS pop_vi FROM l",
+    f"WITH {PAIRS_SQL}, {VI_SQL.format(keys='i, j')}, l AS (SELECT d.*, a.seed = b.seed AS same_chain, a.start = b.start AS same_start, least(a.step, b.step) >= {WARMUP} AS post_warmup, abs(a.step - b.step) AS lag FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j) SELECT i, j, same_chain, same_start, post_warmup, {LAG_SQL} AS lag_group, round(unit_vi, 7) AS unit_vi, round(pop_vi, 7) AS pop_vi FROM l",
 )
 def par_05(v):
-    return P.all_pairs(v.assign)
+    return all_pairs(v).drop("lag").withColumns({c: F.round(c, 7) for c in ("unit_vi", "pop_vi")})
 
 
 @query(
     "agg_17_distance_quartiles",
-    f"WITH {PAIRS_SQL}, {VI_SQL.format(keys='i, j')}, l AS (SELECT d.*, a.seed = b.seed AS same_chain FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j) SELECT same_chain, count(*) AS pairs, round(avg(round(pop_vi, 8)), 7) AS mean, round(quantile_cont(round(pop_vi, 8), 0.25), 7) AS q25, round(quantile_cont(round(pop_vi, 8), 0.5), 7) AS q50, round(quantile_cont(round(pop_vi, 8), 0.75), 7) AS q75 FROM l GROUP BY 1",
+    f"WITH {PAIRS_SQL}, {VI_SQL.format(keys='i, j')}, l AS (SELECT d.*, a.seed = b.seed AS same_chain FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j) SELECT same_chain, count(*) AS pairs, round(avg(round(pop_vi, 8)), 6) AS mean, round(quantile_cont(round(pop_vi, 8), 0.25), 6) AS q25, round(quantile_cont(round(pop_vi, 8), 0.5), 6) AS q50, round(quantile_cont(round(pop_vi, 8), 0.75), 6) AS q75 FROM l GROUP BY 1",
 )
 def agg_17(v):
-    q = F.percentile("pop_vi", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = P.all_pairs(v.assign).groupBy("same_chain").agg(F.count("*").alias("pairs"), F.round(F.avg("pop_vi"), 7).alias("mean"), q.alias("q"))
-    return g.select("same_chain", "pairs", "mean", *[F.round(F.col("q")[k], 7).alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+    """Quartiles as order statistics picked by place: pairs are counted by value, and no task holds those of a kind."""
+    p = all_pairs(v).groupBy("same_chain", F.round("pop_vi", 8).alias("value")).agg(F.count("*").alias("n"))
+    p = materialised(cumulative(p, ["same_chain"], ["value"], "n"))
+    g = materialised(p.groupBy("same_chain").agg(F.sum("n").alias("pairs"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")))
+    ends = [F.struct(F.lit(f"q{q}{e}").alias("name"), f((F.col("pairs") - 1) * F.lit(q / 100)).cast("long").alias("place")) for q in (25, 50, 75) for e, f in (("a", F.floor), ("b", F.ceil))]
+    picked = at_places(p, ["same_chain"], g.select("same_chain", F.explode(F.array(*ends)).alias("x")).select("same_chain", "x.*"))
+    picked = picked.groupBy("same_chain").pivot("name", [f"q{q}{e}" for q in (25, 50, 75) for e in "ab"]).agg(F.first("value"))
+
+    def between(q: int):
+        at = (F.col("pairs") - 1) * F.lit(q / 100)
+        return F.round(F.col(f"q{q}a") + (F.col(f"q{q}b") - F.col(f"q{q}a")) * (at - F.floor(at)), 6).alias(f"q{q}")
+
+    return g.join(picked, "same_chain").select("same_chain", "pairs", F.round("mean", 6).alias("mean"), *map(between, (25, 50, 75)))
 
 
-@query("agg_26_long_lags", f"WITH {PAIRS_SQL}, {VI_SQL.format(keys='i, j')}, l AS (SELECT round(pop_vi, 8) AS v, a.seed = b.seed AS same_chain, abs(a.step - b.step) AS lag FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j) SELECT round(avg(v) FILTER (WHERE same_chain), 7) AS within_mean, round(avg(v) FILTER (WHERE NOT same_chain), 7) AS between_mean, count(*) AS pairs FROM l WHERE lag >= 200")
+@query("agg_26_long_lags", f"WITH {PAIRS_SQL}, {VI_SQL.format(keys='i, j')}, l AS (SELECT round(pop_vi, 8) AS v, a.seed = b.seed AS same_chain, abs(a.step - b.step) AS lag FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j) SELECT round(avg(v) FILTER (WHERE same_chain), 6) AS within_mean, round(avg(v) FILTER (WHERE NOT same_chain), 6) AS between_mean, count(*) AS pairs FROM l WHERE lag >= 200")
 def agg_26(v):
-    far = P.all_pairs(v.assign, with_lag=True).where("lag >= 200")
-    mean = lambda c: F.round(F.avg(F.when(c, F.col("pop_vi"))), 7)
+    far = all_pairs(v).where("lag >= 200")
+    mean = lambda c: F.round(F.avg(F.when(c, F.round("pop_vi", 8))), 6)
     return far.agg(mean(F.col("same_chain")).alias("within_mean"), mean(~F.col("same_chain")).alias("between_mean"), F.count("*").alias("pairs"))
 
 
 @query("flt_11_long_lag_pairs", f"WITH {PAIRS_SQL}, l AS (SELECT a.i, b.i AS j, abs(a.step - b.step) AS lag FROM c a JOIN c b ON a.i < b.i) SELECT i, j, lag FROM l WHERE lag >= 200")
 def flt_11(v):
-    c = P.checkpoints(v.assign)
+    c = materialised(P.numbered_states(v.saved))
     a, b = (c.select(*[F.col(k).alias(f"{n}_{k}") for k in ("i", "step")]) for n in "ab")
     return a.join(b, F.col("a_i") < F.col("b_i")).select(F.col("a_i").alias("i"), F.col("b_i").alias("j"), F.abs(F.col("a_step") - F.col("b_step")).alias("lag")).where("lag >= 200")
 
 
 @query("j_09_pairs", f"WITH {PAIRS_SQL} SELECT a.i, b.i AS j FROM c a JOIN c b ON a.i < b.i")
 def j_09(v):
-    c = P.checkpoints(v.assign).select("i")
+    c = materialised(P.numbered_states(v.saved)).select("i")
     return c.join(c.withColumnRenamed("i", "j"), F.col("i") < F.col("j"))
 
 
@@ -227,18 +247,39 @@ def par_04(v):
     return P.population_similarity(v.assign.select("seed", "step", "node", F.col("district").alias("x"), "totpop").join(ref, "node"), "seed", "step")
 
 
-@query("par_08_maximin")
+@query(
+    "par_08_maximin",
+    f"""WITH {PAIRS_SQL}, {VI_SQL.format(keys='i, j')}, far AS (SELECT i, j, round(pop_vi, 7) AS v FROM d UNION ALL SELECT j, i, round(pop_vi, 7) FROM d),
+    two AS (SELECT j AS i FROM far WHERE i = 1 ORDER BY v DESC, j LIMIT 1),
+    three AS (SELECT j AS i FROM far WHERE i = 1 OR i = (SELECT i FROM two) GROUP BY j HAVING count(*) = 2 ORDER BY min(v) DESC, j LIMIT 1),
+    four AS (SELECT j AS i FROM far WHERE i = 1 OR i = (SELECT i FROM two) OR i = (SELECT i FROM three) GROUP BY j HAVING count(*) = 3 ORDER BY min(v) DESC, j LIMIT 1)
+    SELECT 0 AS rank, 1::BIGINT AS i UNION ALL SELECT 1, i FROM two UNION ALL SELECT 2, i FROM three UNION ALL SELECT 3, i FROM four""",
+)
 def par_08(v):
-    # Saved states of the trace view only differ by labels; three plans of different shape stand in.
-    three = v.plans.select(F.when(F.col("plan") == "rows", 0).otherwise(1).alias("seed"), "node", "district")
-    three = three.unionByName(v.units.select(F.lit(2).alias("seed"), "node", (F.col("node") % 14 + 1).cast("int").alias("district")))
-    return P.maximin(P.all_pairs(three.withColumn("step", F.lit(0)).join(v.units.select("node", "totpop"), "node")), 3)
+    """Four saved states, each as far as can be from those chosen."""
+    return P.maximin(all_pairs(v).withColumn("pop_vi", F.round("pop_vi", 7)), 4)
 
 
-@query("par_09_validation", f"WITH {D_SUMS} SELECT seed, step, sum(units)::BIGINT AS units, count(*) AS districts, sum(units) = (SELECT n_units FROM v_n) AS complete FROM d GROUP BY 1, 2")
+@query(
+    "par_09_validation",
+    f"""WITH {D_SUMS}, {{components}}, x AS (SELECT seed, step, district, count(*) AS components FROM m WHERE node = root GROUP BY ALL)
+    SELECT seed, step, sum(units)::BIGINT AS units, count(*) AS districts, sum(units) = (SELECT n_units FROM v_n) AS complete, round(max(abs(totpop / (SELECT sum(totpop) / {DISTRICTS}.0 FROM v_units)::DOUBLE - 1)), 9) AS most_deviation,
+    max(components)::BIGINT AS most_components, max(components) = 1 AS contiguous FROM d JOIN x USING (seed, step, district) GROUP BY 1, 2""".replace(
+        "{components}",
+        """l AS (SELECT p.seed, p.step, p.district, e.src, e.dst FROM v_edges e JOIN v_assign p ON p.node = e.src JOIN v_assign q ON q.node = e.dst AND q.seed = p.seed AND q.step = p.step AND q.district = p.district),
+    b AS (SELECT seed, step, src AS a, dst AS b FROM l UNION ALL SELECT seed, step, dst, src FROM l),
+    k AS (SELECT seed, step, node, node AS root, district FROM v_assign UNION SELECT b.seed, b.step, b.b, k.root, k.district FROM k JOIN b ON b.seed = k.seed AND b.step = k.step AND b.a = k.node WHERE k.root < b.b),
+    m AS (SELECT seed, step, district, node, min(root) AS root FROM k GROUP BY ALL)""",
+    ),
+)
 def par_09(v):
-    d = checkpoint_districts(v).groupBy("seed", "step").agg(F.sum("units").alias("units"), F.count("*").alias("districts"))
-    return d.crossJoin(F.broadcast(v.n_units)).select("seed", "step", "units", "districts", (F.col("units") == F.col("n_units")).alias("complete"))  # one row
+    """Coverage, balance and contiguity of every saved state."""
+    total = v.units.agg(F.sum("totpop").alias("everybody"))
+    d = checkpoint_districts(v).crossJoin(F.broadcast(total)).withColumn("off", F.abs(F.col("totpop") / (F.col("everybody") / DISTRICTS) - 1))  # one row
+    d = d.groupBy("seed", "step").agg(F.sum("units").alias("units"), F.count("*").alias("districts"), F.round(F.max("off"), 9).alias("most_deviation"))
+    parts = district_components(v.edges, v.assign.select("seed", "step", "node", "district"), "seed", "step").groupBy("seed", "step").agg(F.max("components").alias("most_components"))
+    d = d.crossJoin(F.broadcast(v.n_units)).join(parts, ["seed", "step"])  # one row
+    return d.select("seed", "step", "units", "districts", (F.col("units") == F.col("n_units")).alias("complete"), "most_deviation", "most_components", (F.col("most_components") == 1).alias("contiguous"))
 
 
 # --- counties and elections over checkpoints ---
@@ -305,9 +346,9 @@ COMPONENT_SQL = """l AS (SELECT p.plan, p.district, e.src, e.dst FROM v_edges e
     m AS (SELECT plan, node, min(root) AS root FROM k GROUP BY 1, 2)"""
 
 
-@query("gra_03_components")
+@query("gra_03_components", f"WITH {COMPONENT_SQL} SELECT p.plan, p.district, count(*) AS units, count(*) FILTER (node = root) AS components FROM v_plans p JOIN m USING (plan, node) GROUP BY 1, 2")
 def gra_03(v):
-    return graph.district_components(v.edges, v.plans, "plan")
+    return district_components(v.edges, v.plans, "plan")
 
 
 @query("gra_03_isolates", "SELECT count(*) FILTER (WHERE n = 0) AS isolates, count(*) AS nodes FROM (SELECT c_custkey, (SELECT count(*) FROM v_edges WHERE src = c_custkey OR dst = c_custkey) AS n FROM customer)")
@@ -340,6 +381,6 @@ def gra_07(v):
 
 @query("gra_09_tree_starts")
 def gra_09(v):
-    return graph.tree_starts(v.units.select("node", "totpop"), v.edges, seeds=[40009, 40013], parts=14, epsilon=0.1)
+    return graph.tree_starts(v.units.select("node", "totpop"), v.edges, seeds=[7, 8], parts=14, epsilon=0.1)
 
 

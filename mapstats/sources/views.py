@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mapstats.session import materialised
+
 DISTRICTS = 14
 WIDTH = 25  # of the grid of units
 EPSILON = 0.005
@@ -85,12 +87,26 @@ class Views:
             F.sha2(F.concat_ws("|", "event_type", "props"), 256).alias("plan_hash"),
         )
 
+    @cached_property
+    def saved(self) -> DataFrame:
+        """The states of which the assignment is saved: one in a hundred of each chain."""
+        return self.trace.where("step % 100 = 99").select("experiment", "seed", "step")
+
     @cached_property
     def assign(self) -> DataFrame:
-        """Checkpoints in long form: the units of each saved state with their district."""
-        saved = self.trace.where("step % 100 = 99").select("experiment", "seed", "step")
-        district = ((F.col("node") + 3 * F.col("seed") + F.floor(F.col("step") / 100) * (F.col("node") % 7)) % DISTRICTS + 1).cast("int")
-        return self.units.crossJoin(saved).select("experiment", "seed", "step", "node", "county", "totpop", "dem", "rep", district.alias("district"))
+        """Checkpoints in long form: the units of each saved state with their district. Written once an application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _ASSIGN:
+            state = F.floor(F.col("step") / 100) + 2
+            district = ((F.floor(F.col("node") / state) + F.col("node") % (F.col("seed") + 5)) % DISTRICTS + 1).cast("int")
+            nodes = self.table("customer").agg(F.max("c_custkey").alias("last"))
+            every = self.saved.crossJoin(F.broadcast(nodes)).withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), "last")))  # one row
+            rows = every.select("experiment", "seed", "step", "node", district.alias("district")).join(self.units.select("node", "county", "totpop", "dem", "rep"), "node")
+            _ASSIGN[key] = materialised(rows.select("experiment", "seed", "step", "node", "county", "totpop", "dem", "rep", "district"))
+        return _ASSIGN[key]
+
+
+_ASSIGN: dict[tuple[str, str], DataFrame] = {}
 
 
 DUCK_VIEWS = f"""
@@ -119,5 +135,5 @@ v_trace AS (
     (event_id * 7 % 101)::DOUBLE / 1000 - CAST(0.05 AS DOUBLE) AS mean_median, (event_id % 50)::DOUBLE / 10000 AS max_abs_pop_dev,
     sha256(event_type || '|' || props) AS plan_hash FROM events),
 v_assign AS (
-  SELECT experiment, seed, step, node, county, totpop, dem, rep, CAST((node + 3 * seed + (step // 100) * (node % 7)) % {DISTRICTS} + 1 AS INTEGER) AS district
+  SELECT experiment, seed, step, node, county, totpop, dem, rep, CAST((node // (step // 100 + 2) + node % (seed + 5)) % {DISTRICTS} + 1 AS INTEGER) AS district
   FROM v_units, (SELECT experiment, seed, step FROM v_trace WHERE step % 100 = 99))"""
