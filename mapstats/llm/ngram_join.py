@@ -11,7 +11,8 @@ Which tokens are frequent is counted over all documents: each batch reports the
 more than one of FREQUENT of its documents. The class only steers the cost. It holds at most
 MAX_FREQUENT tokens, so it can be broadcast.
 
-1. Buckets. Rows of a bucket carry the size of the set and 32 counts of its tokens by hash;
+1. Buckets. The index is dealt out by key as pairs of key and set; what only one set has goes at
+   once. The others' rows carry the size of the set and 32 counts of its tokens by hash;
    sizes and counts exclude pairs that cannot reach the threshold. What leaves a bucket is not
    pairs but its rows that have some partner left, each once, so a bucket gives no more rows
    than it holds, and of a large group each row stops at its first partner. Copies of a set
@@ -107,6 +108,9 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], list[bytes |
     return sets, [_digest(s) if len(s) else None for s in sets]
 
 
+NODES = "doc_id long, n long, digest binary, short long, token long, times long, sketch binary, s0 long, s1 long"
+
+
 @tidy
 def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row a document, and rows (token, times) of what is frequent in the slice."""
@@ -119,6 +123,7 @@ def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Recor
             often = times >= max(2, len(rows) // FREQUENT)
             token, times = token[often], times[often]
         n, m = len(sets), len(token)
+        signs = np.stack([_signature(s).view(np.int64) for s in sets]) if n else np.zeros((0, 2), dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]),
@@ -128,8 +133,9 @@ def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Recor
                 pa.array([None] * n + signed(token).tolist(), pa.int64()),
                 pa.array([None] * n + times.tolist(), pa.int64()),
                 pa.array([*(_signature(s, SKETCH).tobytes() if len(s) > 1 else None for s in sets), *[None] * m], pa.binary()),
+                *(pa.array([*signs[:, c].tolist(), *[None] * m], pa.int64()) for c in (0, 1)),
             ],
-            names=["doc_id", "n", "digest", "short", "token", "times", "sketch"],
+            names=[c.split()[0] for c in NODES.split(", ")],
         )
 
 
@@ -147,6 +153,7 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+ENTRY = "key long, base long, blocks int, digest long"
 INDEX = "key long, base long, blocks int, doc long, digest long, n long, s0 long, s1 long"
 
 
@@ -157,10 +164,10 @@ def _in_block(base: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 @tidy
 def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequent: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of the index, see INDEX; base is the key of a bucket that is cut into blocks, else null.
+    """Rows of the index, see ENTRY; base is the key of a bucket that is cut into blocks, else null.
     frequent is sorted; shares: blocks of each."""
     for batch in sliced(batches, ROWS):
-        keys, blocks, held, sizes, signs = [], [], [], [], []
+        keys, blocks, held = [], [], []
         sets, digests = _sets(batch, k)
         rows = _first(batch, sets, digests)
         for i in rows:
@@ -183,17 +190,28 @@ def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequ
             keys.append(np.concatenate(own))
             blocks.append(np.concatenate(cut))
             held.append(len(keys[-1]))
-            sizes.append(n)
-            signs.append(_signature(s).view(np.int64))
         if not keys:
             continue
         base, b = np.concatenate(keys), np.concatenate(blocks)
         digest = np.repeat(np.array([_short(digests[i]) for i in rows], dtype=np.int64), held)
         hot = b > 1
         key = np.where(hot, _in_block(base, mix(digest.view(U)) % b.astype(U)), base)
-        sign = np.repeat(np.stack(signs), held, axis=0)
-        doc = np.repeat(batch.column("doc_id").take(pa.array(rows)).to_numpy().astype(np.int64), held)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(base), mask=~hot), pa.array(b.astype(np.int32)), pa.array(doc), pa.array(digest), pa.array(np.repeat(np.array(sizes, dtype=np.int64), held)), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy())], names=[f.split()[0] for f in INDEX.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(base), mask=~hot), pa.array(b.astype(np.int32)), pa.array(digest)], names=[f.split()[0] for f in ENTRY.split(", ")])
+
+
+@tidy
+def met_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of the index, sorted by key and digest, each set once: those of keys that two sets have, and all of
+    buckets in blocks. Most keys are one set's alone, and their rows carry nothing else through the shuffle."""
+    for t in by_key(batches, "key"):
+        t = t.combine_chunks()
+        key, digest = t.column("key").to_numpy(), t.column("digest").to_numpy()
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])])
+        t, key = t.filter(pa.array(~again)).combine_chunks(), key[~again]
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        keep = ~(new[:-1] & new[1:]) | t.column("base").is_valid().to_numpy(zero_copy_only=False) if len(key) else new[:0]
+        for batch in t.filter(pa.array(keep)).to_batches():
+            yield batch
 
 
 def partnered(key: np.ndarray, n: np.ndarray, sign: np.ndarray, name: np.ndarray, room: np.ndarray, guest: np.ndarray, percent: int, fit: Callable | None = None) -> np.ndarray:
@@ -461,12 +479,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = written(texts.mapInArrow(lambda b: node_batches(b, k), "doc_id long, n long, digest binary, short long, token long, times long, sketch binary"))
+    every = written(texts.mapInArrow(lambda b: node_batches(b, k), NODES))
     shared = spark.sparkContext.broadcast(frequent_class(every))  # at most MAX_FREQUENT tokens
     nodes = every.where("token IS NULL").select("doc_id", "n", "digest")
 
-    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), INDEX)
-    found = with_partners(index, percent)
+    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), ENTRY)
+    index = index.repartition(F.col("key")).sortWithinPartitions("key", "digest").mapInArrow(met_batches, ENTRY)
+    sets = every.where("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("short").alias("digest")).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "s0", "s1")])
+    found = with_partners(index.join(sets, "digest").select(*[c.split()[0] for c in INDEX.split(", ")]), percent)
     # Texts move once; what follows reads those of documents that have a partner.
     held = texts.where("doc_id IS NOT NULL").mapInArrow(pack_batches, "doc long, text binary")
     held = written(held.join(found.select("doc").distinct(), "doc", "left_semi"))
