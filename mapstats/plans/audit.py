@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapstats.functions import geometry as G
-from mapstats.operators import graph, metrics as M
-from mapstats.session import workspace
+from mapstats.operators import digests as X, graph, metrics as M
+from mapstats.operators.contracts import ContractError
+from mapstats.session import materialised, workspace
 from mapstats.sources import files
 
-from .chains import int_02
 from .io import boxes
 from .registry import query
 
@@ -135,31 +135,90 @@ def int_06(v):
     return due.join(saved, "seed", "left")
 
 
-@query("int_07_provenance", "SELECT 'units' AS name, count(*) AS rows, sum(totpop)::BIGINT AS total FROM v_units UNION ALL SELECT 'edges', count(*), sum(src + dst)::BIGINT FROM v_edges")
+def row_sql(columns: list[str]) -> str:
+    """The canonical form of a row."""
+    return " || '|' || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '\\N')" for c in sorted(columns))
+
+
+def root_sql(view: str, columns: list[str], keys: list[str]) -> str:
+    """rows, digest of a view's hash tree."""
+    return f"""(SELECT coalesce(sum(rows), 0)::BIGINT AS rows, sha256(string_agg(branch || '=' || digest, '' ORDER BY branch)) AS digest FROM (
+      SELECT leaf // {X.BRANCH} AS branch, sum(rows) AS rows, sha256(string_agg(leaf || '=' || digest, '' ORDER BY leaf)) AS digest FROM (
+        SELECT leaf, count(*) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (
+          SELECT ('0x' || substr(sha256({row_sql(keys)}), 1, 12))::BIGINT % (1 << greatest(0, ceil(log2(greatest(1, count(*) OVER () / {float(X.LEAF)}::DOUBLE))))::INTEGER) AS leaf, sha256({row_sql(columns)}) AS d FROM {view}) GROUP BY 1) GROUP BY 1))"""
+
+
+UNIT_COLUMNS, EDGE_COLUMNS = ["node", "county", "totpop", "dem", "rep"], ["src", "dst"]
+SETTINGS = {"epsilon": 0.005, "districts": 14, "sample_every": 100, "columns": {"population": "totpop", "dem": "dem", "rep": "rep"}}
+
+
+@query(
+    "int_07_provenance",
+    f"""SELECT 'edges' AS name, rows, digest FROM {root_sql("v_edges", EDGE_COLUMNS, EDGE_COLUMNS)} UNION ALL SELECT 'units', rows, digest FROM {root_sql("v_units", UNIT_COLUMNS, ["node"])}
+    UNION ALL SELECT 'settings', 4, sha256('{{"columns":{{"dem":"dem","population":"totpop","rep":"rep"}},"districts":14,"epsilon":0.005,"sample_every":100}}')""",
+)
 def int_07(v):
-    a = v.units.agg(F.lit("units").alias("name"), F.count("*").alias("rows"), F.sum("totpop").alias("total"))
-    return a.unionByName(v.edges.agg(F.lit("edges").alias("name"), F.count("*").alias("rows"), F.sum(F.col("src") + F.col("dst")).alias("total")))
+    """Roots of the hash trees of the tables that a chain starts from, and the digest of its settings."""
+    return X.provenance({"units": (v.units.select(UNIT_COLUMNS), ["node"]), "edges": (v.edges, EDGE_COLUMNS)}, SETTINGS)
+
+
+@query("int_08_replay", "SELECT seed, step, 'dem_seats' AS field, dem_seats::VARCHAR AS a, (dem_seats + 1)::VARCHAR AS b FROM v_trace t WHERE step = (SELECT max(step) - 5 FROM v_trace u WHERE u.seed = t.seed)")
+def int_08(v):
+    """The last hundred states of each chain, saved with one field of one row altered, against their regeneration from the
+    events: what differs is told by state and field."""
+    cols = ["seed", "step", "dem_seats", "cut_edges", "efficiency_gap", "plan_hash"]
+    ends = v.trace.groupBy("seed").agg(F.max("step").alias("last"))
+    tail = materialised(v.trace.join(F.broadcast(ends), "seed").where("step > last - 100").select(*cols, "last"))  # a row a chain
+    saved = tail.drop("last")
+    altered = tail.withColumn("dem_seats", F.col("dem_seats") + F.when(F.col("step") == F.col("last") - 5, 1).otherwise(0)).drop("last")
+    path = workspace(v.spark)
+    altered.write.parquet(path)
+    again = type(v)(v.spark, v.sf_dir).trace.select(cols).join(saved.select("seed", "step"), ["seed", "step"], "left_semi")
+    return X.differences(again, v.spark.read.parquet(path), ["seed", "step"], 16)
 
 
-@query("int_10_freeze", "SELECT experiment, count(*) AS states, TRUE AS reproduced FROM v_trace GROUP BY 1")
+@query(
+    "int_10_freeze",
+    f"SELECT 'frozen' AS state, rows, digest, TRUE AS verified FROM {root_sql('(SELECT experiment, seed, step, dem_seats, plan_hash FROM v_trace)', ['experiment', 'seed', 'step', 'dem_seats', 'plan_hash'], ['seed', 'step'])} UNION ALL SELECT 'tampered', count(*), NULL, FALSE FROM v_trace",
+)
 def int_10(v):
-    """Freeze a result, derive it anew, and compare what was frozen with that."""
+    """Freeze a table with its receipts, derive it anew and compare; a copy with one altered row is refused."""
+    keys, cols = ["seed", "step"], ["experiment", "seed", "step", "dem_seats", "plan_hash"]
+    result = v.trace.select(cols)
     path = workspace(v.spark)
-    result = v.trace.groupBy("experiment").agg(F.count("*").alias("states"))
-    files.write_once(result, path)
-    frozen, anew = v.spark.read.parquet(path), type(v)(v.spark, v.sf_dir).trace.groupBy("experiment").agg(F.count("*").alias("states"))
-    return frozen.join(anew.withColumnRenamed("states", "again"), "experiment").select("experiment", "states", (F.col("states") == F.col("again")).alias("reproduced"))
+    files.write_once(result, f"{path}/table")
+    record = X.provenance({"trace": (v.spark.read.parquet(f"{path}/table"), keys)}, SETTINGS)
+    files.write_once(record, f"{path}/record")
+    files.write_once(files.receipts(v.spark, f"{path}/table/*.parquet"), f"{path}/receipts")
+    recorded, receipts = v.spark.read.parquet(f"{path}/record"), v.spark.read.parquet(f"{path}/receipts")
+    X.verify(recorded, X.provenance({"trace": (type(v)(v.spark, v.sf_dir).trace.select(cols), keys)}, SETTINGS))
+    if not receipts.exceptAll(files.receipts(v.spark, f"{path}/table/*.parquet")).isEmpty():
+        raise ContractError("a frozen file has changed")
+    tampered = result.withColumn("dem_seats", F.col("dem_seats") + F.when((F.col("seed") == 0) & (F.col("step") == 7), 1).otherwise(0))
+    try:
+        X.verify(recorded, X.provenance({"trace": (tampered, keys)}, SETTINGS))
+        refused = False
+    except ContractError:
+        refused = True
+    trace = recorded.where("name = 'trace'")
+    frozen = trace.select(F.lit("frozen").alias("state"), "rows", "digest", F.lit(True).alias("verified"))
+    return frozen.unionByName(trace.select(F.lit("tampered").alias("state"), "rows", F.lit(None).cast("string").alias("digest"), F.lit(not refused).alias("verified")))
 
 
-@query("int_11_kernel_equivalence", "SELECT 0::BIGINT AS differing_nodes, 0::BIGINT AS differing_edges")
+@query(
+    "int_11_kernel_equivalence",
+    """SELECT 'unit' AS kind, node AS a_node, NULL::BIGINT AS b_node, 'totpop' AS field, totpop::VARCHAR AS a, (totpop + 1)::VARCHAR AS b FROM v_units WHERE node % 101 = 5
+    UNION ALL SELECT 'edge', src, dst, 'row', 'there', NULL FROM v_edges WHERE src % 97 = 3 AND dst = src + 1""",
+)
 def int_11(v):
-    other = type(v)(v.spark, v.sf_dir)
-    cols = ["node", "totpop", "dem", "rep"]
-
-    def apart(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias(name))
-
-    return apart(v.units.select(cols), other.units.select(cols), "differing_nodes").crossJoin(apart(v.edges, other.edges, "differing_edges"))  # one row each
+    """Attributes and edges of two cohorts' graphs; the second has planted differences, which are found to the row."""
+    units, edges = v.units.select(UNIT_COLUMNS), v.edges
+    other = units.withColumn("totpop", F.col("totpop") + F.when(F.col("node") % 101 == 5, 1).otherwise(0))
+    fewer = edges.where(~((F.col("src") % 97 == 3) & (F.col("dst") == F.col("src") + 1)))
+    n = X.differences(units, other, ["node"], X.leaves_for(units.count()))
+    e = X.differences(edges, fewer, EDGE_COLUMNS, X.leaves_for(edges.count()))
+    n = n.select(F.lit("unit").alias("kind"), F.col("node").alias("a_node"), F.lit(None).cast("long").alias("b_node"), "field", "a", "b")
+    return n.unionByName(e.select(F.lit("edge").alias("kind"), F.col("src").alias("a_node"), F.col("dst").alias("b_node"), "field", "a", "b"))
 
 
 @query("int_12_preflight", "SELECT s.seed, coalesce(n, 0) AS states, n IS NOT NULL AS discovered, s.seed IN (0, 1, 2) AS configured FROM (SELECT unnest([0, 1, 2, 3, 9]) AS seed) s LEFT JOIN (SELECT seed, count(*) AS n FROM v_trace GROUP BY 1) t ON s.seed = t.seed")
@@ -209,20 +268,6 @@ def udf_04(v):
     return v.units.select("unit_id", F.when(gap > 0, F.concat(F.lit("D+"), gap.cast("string"))).when(gap < 0, F.concat(F.lit("R+"), (-gap).cast("string"))).otherwise("even").alias("lead"))
 
 
-@query("str_06_milestones", "SELECT m.milestone, count(*) AS chains, bool_and(n >= m.milestone) AS passes FROM (SELECT unnest([100, 200, 400]) AS milestone) m, (SELECT seed, count(*) AS n FROM v_trace GROUP BY 1) GROUP BY 1")
-def str_06(v):
-    n = int_02(v).where("contiguous").select("seed", "states")
-    marks = n.withColumn("milestone", F.explode(F.array(F.lit(100), F.lit(200), F.lit(400))))
-    return marks.groupBy("milestone").agg(F.count("*").alias("chains"), F.bool_and(F.col("states") >= F.col("milestone")).alias("passes"))
-
-
-@query("str_07_refused", "SELECT seed, count(*) - count(DISTINCT step) AS overlapping FROM (SELECT seed, step FROM v_trace UNION ALL SELECT seed, step FROM v_trace WHERE step BETWEEN 10 AND 19) GROUP BY 1")
-def str_07(v):
-    """States that come twice are found, so that they can be refused; they are never merged."""
-    late = v.trace.select("seed", "step").unionByName(v.trace.select("seed", "step").where("step BETWEEN 10 AND 19"))
-    return late.groupBy("seed").agg((F.count("*") - F.count_distinct("step")).alias("overlapping"))
-
-
 @query("cli_03_campaign", "SELECT c.condition, s.seed FROM (SELECT unnest(range(1, 9)) AS condition) c, (SELECT unnest(range(1, 5)) AS seed) s WHERE s.seed <= CASE WHEN c.condition <= 2 THEN 4 ELSE 3 END")
 def cli_03(v):
     """Eight conditions, 26 chains."""

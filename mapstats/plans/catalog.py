@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chains, diagnostics, etl, io, overlay, partitions  # noqa: F401  (they register their queries)
+from . import audit, chains, diagnostics, etl, io, overlay, partitions, streams  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -343,26 +343,6 @@ def int_05(v):
     return v.trace.join(F.broadcast(configured), "seed", "left_anti").groupBy("seed").agg(F.count("*").alias("states"))
 
 
-@query(
-    "int_08_replay",
-    """WITH a AS (SELECT seed, step, dem_seats, cut_edges, plan_hash FROM (SELECT *, max(step) OVER (PARTITION BY seed) AS last FROM v_trace) WHERE step > last - 100),
-    r AS (SELECT CAST(user_id % 4 AS INTEGER) AS seed, count(*) OVER w - row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts DESC, event_id DESC) AS step, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts DESC, event_id DESC) AS back, CAST(floor(value) AS BIGINT) % 15 AS dem_seats, 600 + event_id % 97 AS cut_edges, sha256(event_type || '|' || props) AS plan_hash FROM events WINDOW w AS (PARTITION BY user_id % 4)),
-    b AS (SELECT seed, step, dem_seats, cut_edges, plan_hash FROM r WHERE back <= 100)
-    SELECT (SELECT count(*) FROM a) AS replayed, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS differing""",
-)
-def int_08(v):
-    """The last 100 states of every chain, made again from the events counted back from the end."""
-    cols = ["seed", "step", "dem_seats", "cut_edges", "plan_hash"]
-    last = v.trace.groupBy("seed").agg(F.max("step").alias("last"))
-    a = v.trace.join(last, "seed").where(F.col("step") > F.col("last") - 100).select(cols)
-    back = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("ts"), F.desc("event_id")))
-    b = v.table("events").withColumn("seed", (F.col("user_id") % 4).cast("int")).withColumn("back", back).join(last, "seed").where("back <= 100")
-    seats, cut = (F.floor("value") % 15).cast("int").alias("dem_seats"), (600 + F.col("event_id") % 97).cast("int").alias("cut_edges")
-    b = b.select("seed", (F.col("last") + 1 - F.col("back")).alias("step"), seats, cut, F.sha2(F.concat_ws("|", "event_type", "props"), 256).alias("plan_hash"))
-    one = lambda df, n: df.agg(F.count("*").alias(n))
-    return one(a, "replayed").crossJoin(one(a.exceptAll(b).unionByName(b.exceptAll(a)), "differing"))  # one row each
-
-
 @query(
     "int_09_gate",
     "SELECT experiment, bool_and(n >= 200) AND bool_and(bad = 0) AS passes FROM (SELECT experiment, seed, count(*) AS n, count(*) FILTER (WHERE max_abs_pop_dev > epsilon) AS bad FROM v_trace GROUP BY 1, 2) GROUP BY 1",
@@ -372,20 +352,6 @@ def int_09(v):
     return g.groupBy("experiment").agg((F.bool_and(F.col("n") >= 200) & F.bool_and(F.col("bad") == 0)).alias("passes"))
 
 
-@query("str_01_segments", f"SELECT seed, step // {WIDTH} AS segment, min(step) AS first_step, max(step) AS last_step, count(*) AS states FROM v_trace GROUP BY 1, 2")
-def str_01(v):
-    return v.trace.groupBy("seed", F.floor(F.col("step") / WIDTH).alias("segment")).agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count("*").alias("states"))
-
-
-@query(
-    "str_04_snapshot",
-    f"WITH g AS (SELECT seed, step // {WIDTH} AS segment, min(step) AS a, max(step) AS b FROM v_trace GROUP BY 1, 2) SELECT seed, count(*) FILTER (WHERE b < 200) AS kept_segments, count(*) FILTER (WHERE a < 200 AND b >= 200) AS straddling FROM g GROUP BY 1",
-)
-def str_04(v):
-    g = str_01(v)
-    return g.groupBy("seed").agg(F.count_if(F.col("last_step") < 200).alias("kept_segments"), F.count_if((F.col("first_step") < 200) & (F.col("last_step") >= 200)).alias("straddling"))
-
-
 @query("str_05_shared_prefix", "WITH n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM v_trace GROUP BY seed)) SELECT seed, count(*) AS states, round(avg(dem_seats), 9) AS seats_mean FROM v_trace, n WHERE step < n.n GROUP BY 1")
 def str_05(v):
     n = v.trace.groupBy("seed").agg(F.count("*").alias("n")).agg(F.min("n").alias("shortest"))

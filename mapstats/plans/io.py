@@ -3,7 +3,6 @@ the shared folder and reads it again."""
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from mapstats.functions import geometry as G
 from mapstats.session import workspace
 from mapstats.sources import files
-from mapstats.streaming import segments as S
 
 from .registry import query
 
@@ -146,29 +144,6 @@ def snk_10(v):
     return files.receipts(v.spark, f"{path}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
-@query(
-    "str_02_running_summary",
-    """WITH t AS (SELECT *, lag(plan_hash) OVER (PARTITION BY seed ORDER BY step) AS p FROM v_trace)
-    SELECT seed, count(*) AS states, max(step) + 1 AS next_step, count(*) FILTER (WHERE plan_hash <> p) AS changes, sum(dem_seats)::BIGINT AS seats_sum, count(*) FILTER (WHERE dem_seats <= 3) AS low_events FROM t GROUP BY 1""",
-)
-def str_02(v):
-    """The trace in five steps of a stream; the last summary of each seed equals the batch result."""
-    path = workspace(v.spark)
-    width = v.trace.agg((F.floor(F.max("step") / 5) + 1).alias("w")).first()["w"] or 1
-    schema = "seed int, step long, dem_seats int, plan_hash string"
-    trace = v.trace.select("seed", "step", "dem_seats", "plan_hash")
-    for k in range(5):  # one file a trigger, in order
-        part = trace.where((F.col("step") >= k * width) & (F.col("step") < (k + 1) * width))
-        part.coalesce(1).write.mode("append").option("header", True).csv(path)
-    got = S.drain(S.running_summary(S.read_stream(v.spark, path, schema)), f"summary_{uuid.uuid4().hex}", checkpoint=f"{path}-state")
-    return got.groupBy("seed").agg(*[F.max_by(c, "next_step").alias(c) for c in ("states", "changes", "seats_sum", "low_events")], F.max("next_step").alias("next_step")).select("seed", "states", "next_step", "changes", "seats_sum", "low_events")
-
-
-@query("str_03_snapshots", "SELECT seed, count(*) FILTER (WHERE step % 100 = 99) AS snapshots, max(step) AS final_step FROM v_trace GROUP BY 1")
-def str_03(v):
-    return v.trace.groupBy("seed").agg(F.count_if(F.col("step") % 100 == 99).alias("snapshots"), F.max("step").alias("final_step"))
-
-
 @query("str_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def str_windows(v):
     g = v.table("events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

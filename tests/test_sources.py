@@ -9,7 +9,6 @@ import pytest
 from mapstats.functions import geometry as G
 from mapstats.operators import contracts as C
 from mapstats.sources import files
-from mapstats.streaming import segments as S
 
 
 def dbf(rows, cut=0):
@@ -61,23 +60,6 @@ def test_shapes(spark, tmp_path):
     assert (row.area, row.length, row.x, row.y, row.fault) == (6, 10, 1.5, 1, None)
 
 
-def test_segments_and_stream(spark, tmp_path):
-    head = "seed,step,dem_seats,plan_hash\n"
-    line = lambda s, k: f"{s},{k},{k % 5},h{k // 3}\n"
-    write = lambda name, s, steps: (tmp_path / name).write_text(head + "".join(line(s, k) for k in steps))
-    schema = "seed int, step long, dem_seats int, plan_hash string"
-    write("x_seed1_steps000000-000001.csv", 1, range(2))
-    write("x_seed1_steps000002-000004.csv", 1, range(2, 5))
-    good = files.read_segments(spark, f"{tmp_path}/*.csv", schema)
-    assert files.segment_faults(good).count() == 0
-    got = S.drain(S.running_summary(S.read_stream(spark, str(tmp_path), schema)), "good_stream").orderBy("states").collect()
-    assert [(r.states, r.next_step, r.seats_sum, r.changes, r.low_events) for r in got][-1] == (5, 5, 10, 1, 4)
-    write("x_seed2_steps000000-000003.csv", 2, [0, 1, 3, 4])
-    assert [r.file_seed for r in files.segment_faults(files.read_segments(spark, f"{tmp_path}/*.csv", schema)).collect()] == [2]
-    with pytest.raises(Exception, match="was next"):
-        S.drain(S.running_summary(S.read_stream(spark, str(tmp_path), schema)), "bad_stream")
-
-
 def test_catalog_and_manifest(spark, tmp_path):
     rows = [("NC blocks ", "csv", "https://u:p@host.org/a/nc%20blocks.zip?key=1"), ("TX", "shp", "http://host.org/x.zip"), ("none", "csv", "https://host.org/")]
     got = files.catalog(spark.createDataFrame(rows, "Title string, Format string, URL string")).collect()
@@ -130,3 +112,14 @@ def test_geometry(spark):
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, 50.0, 50.0)], "point long, x double, y double")
     assert {r.point: r.shape for r in G.within(points, shapes, 1.0).collect()} == {1: 0, 2: 0, 3: None}
     assert io.BytesIO(G.wkb_polygon(a)).read(1) == b"\x01"
+
+
+def test_segment_files(spark, tmp_path):
+    head = "seed,step,dem_seats,plan_hash\n"
+    write = lambda name, s, steps: (tmp_path / name).write_text(head + "".join(f"{s},{k},{k % 5},h{k // 3}\n" for k in steps))
+    schema = "seed int, step long, dem_seats int, plan_hash string"
+    write("x_seed1_steps000000-000001.csv", 1, range(2))
+    write("x_seed1_steps000002-000004.csv", 1, range(2, 5))
+    assert files.segment_faults(files.read_segments(spark, f"{tmp_path}/*.csv", schema)).count() == 0
+    write("x_seed2_steps000000-000003.csv", 2, [0, 1, 3, 4])
+    assert [r.file_seed for r in files.segment_faults(files.read_segments(spark, f"{tmp_path}/*.csv", schema)).collect()] == [2]
