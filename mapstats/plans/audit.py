@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mapstats.functions import geometry as G
 from mapstats.operators import digests as X, graph, metrics as M
 from mapstats.operators.contracts import ContractError
+from mapstats.operators.ordering import numbered
 from mapstats.session import materialised, workspace
 from mapstats.sources import files
 
@@ -85,6 +86,26 @@ def snk_06(v):
     return v.spark.read.parquet(path).groupBy("seed", F.col("next_step").cast("long").alias("next_step")).agg(F.count("*").alias("units"))
 
 
+# --- digests ---
+
+
+def row_sql(columns: list[str]) -> str:
+    """The canonical form of a row."""
+    return " || '|' || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '\\N')" for c in sorted(columns))
+
+
+def root_sql(view: str, columns: list[str], keys: list[str]) -> str:
+    """rows, digest of a view's hash tree."""
+    return f"""(SELECT coalesce(sum(rows), 0)::BIGINT AS rows, sha256(string_agg(branch || '=' || digest, '' ORDER BY branch)) AS digest FROM (
+      SELECT leaf // {X.BRANCH} AS branch, sum(rows) AS rows, sha256(string_agg(leaf || '=' || digest, '' ORDER BY leaf)) AS digest FROM (
+        SELECT leaf, count(*) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (
+          SELECT ('0x' || substr(sha256({row_sql(keys)}), 1, 12))::BIGINT % (1 << greatest(0, ceil(log2(greatest(1, count(*) OVER () / {float(X.LEAF)}::DOUBLE))))::INTEGER) AS leaf, sha256({row_sql(columns)}) AS d FROM {view}) GROUP BY 1) GROUP BY 1))"""
+
+
+UNIT_COLUMNS, EDGE_COLUMNS = ["node", "county", "totpop", "dem", "rep"], ["src", "dst"]
+SETTINGS = {"epsilon": 0.005, "districts": 14, "sample_every": 100, "columns": {"population": "totpop", "dem": "dem", "rep": "rep"}}
+
+
 # --- geometry ---
 
 
@@ -109,10 +130,19 @@ def gra_01(v):
 
 @query("gra_08_canonical_order", "SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS place FROM v_edges")
 def gra_08(v):
-    """The order in which the sampler draws weights; one graph is no larger than a state."""
-    from pyspark.sql import Window
+    """The order in which the sampler draws weights: numbers by ranges, with what lies in the ranges before."""
+    return numbered(v.edges, "src", "dst")
 
-    return v.edges.withColumn("place", (F.row_number().over(Window.orderBy("src", "dst")) - 1).cast("long"))
+
+@query(
+    "gra_06_signature",
+    f"""SELECT u.digest AS node_digest, e.digest AS edge_digest, sha256(u.digest || e.digest) AS signature FROM {root_sql("v_units", UNIT_COLUMNS, ["node"])} u, {root_sql("v_edges", EDGE_COLUMNS, EDGE_COLUMNS)} e""",
+)
+def gra_06(v):
+    """A graph's signature: of its nodes with their attributes, and of its edges, whatever the order of rows."""
+    one = lambda df, keys, n: X.root(X.leaf_digests(df, keys, X.leaves_for(df.count()))).select(F.col("digest").alias(n))
+    both = one(v.units.select(UNIT_COLUMNS), ["node"], "node_digest").crossJoin(one(v.edges, EDGE_COLUMNS, "edge_digest"))  # one row each
+    return both.withColumn("signature", F.sha2(F.concat("node_digest", "edge_digest"), 256))
 
 
 @query("gra_11_diversity")
@@ -135,23 +165,6 @@ def int_06(v):
     return due.join(saved, "seed", "left")
 
 
-def row_sql(columns: list[str]) -> str:
-    """The canonical form of a row."""
-    return " || '|' || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '\\N')" for c in sorted(columns))
-
-
-def root_sql(view: str, columns: list[str], keys: list[str]) -> str:
-    """rows, digest of a view's hash tree."""
-    return f"""(SELECT coalesce(sum(rows), 0)::BIGINT AS rows, sha256(string_agg(branch || '=' || digest, '' ORDER BY branch)) AS digest FROM (
-      SELECT leaf // {X.BRANCH} AS branch, sum(rows) AS rows, sha256(string_agg(leaf || '=' || digest, '' ORDER BY leaf)) AS digest FROM (
-        SELECT leaf, count(*) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (
-          SELECT ('0x' || substr(sha256({row_sql(keys)}), 1, 12))::BIGINT % (1 << greatest(0, ceil(log2(greatest(1, count(*) OVER () / {float(X.LEAF)}::DOUBLE))))::INTEGER) AS leaf, sha256({row_sql(columns)}) AS d FROM {view}) GROUP BY 1) GROUP BY 1))"""
-
-
-UNIT_COLUMNS, EDGE_COLUMNS = ["node", "county", "totpop", "dem", "rep"], ["src", "dst"]
-SETTINGS = {"epsilon": 0.005, "districts": 14, "sample_every": 100, "columns": {"population": "totpop", "dem": "dem", "rep": "rep"}}
-
-
 @query(
     "int_07_provenance",
     f"""SELECT 'edges' AS name, rows, digest FROM {root_sql("v_edges", EDGE_COLUMNS, EDGE_COLUMNS)} UNION ALL SELECT 'units', rows, digest FROM {root_sql("v_units", UNIT_COLUMNS, ["node"])}

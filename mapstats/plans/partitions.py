@@ -369,11 +369,6 @@ def gra_05(v):
     return v.units.agg(F.count("*").alias("nodes"), F.sum("totpop").alias("totpop")).crossJoin(v.edges.agg(F.count("*").alias("edges"))).select("nodes", "edges", "totpop")  # one row each
 
 
-@query("gra_06_signature", "SELECT sha256(string_agg(src || '-' || dst, ',' ORDER BY src, dst)) AS edge_digest FROM v_edges")
-def gra_06(v):
-    return v.edges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst"))), lambda e: F.concat_ws("-", e["src"].cast("string"), e["dst"].cast("string"))), ","), 256).alias("edge_digest"))
-
-
 @query("gra_07_recom")
 def gra_07(v):
     return graph.sample_chains(v.units.select("node", "totpop", "dem", "rep"), v.edges, seeds=[1, 2, 3, 4], steps=10, parts=14, epsilon=0.1)
