@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import masked, ship, sliced, tidy, written
+from .common import bucketed, buckets, masked, ship, sliced, tidy, written
 from .components import components
 from .hashing import U, by_key, mix, shingles, signed
 
@@ -59,6 +59,7 @@ BLOCK = 4096
 TOKENS = 1 << 21  # tokens of the sets that are verified together
 BINS = 32
 SKETCH = 256
+SAMPLE = 2000  # texts for the dictionary that compresses them
 ROWS = 2500  # documents whose sets are held at once
 GOLD = 0x9E3779B97F4A7C15
 
@@ -139,10 +140,20 @@ def node_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Recor
         )
 
 
+def common_parts(texts: DataFrame) -> bytes:
+    """A dictionary for compressing texts, from the beginnings of at most SAMPLE of them; empty where they are too few.
+    It says nothing of results, only of the bytes that move."""
+    rows = texts.where("length(text) > 64").select(F.substring("text", 1, 4096).alias("text")).limit(SAMPLE).collect()
+    try:
+        return zstandard.train_dictionary(1 << 16, [r["text"].encode() for r in rows]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 @tidy
-def pack_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack_batches(batches: Iterable[pa.RecordBatch], common: bytes) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they move."""
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(common) if common else None)
     for batch in batches:
         packed = [packer.compress((t.as_py() or "").encode()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc", "text"])
@@ -358,10 +369,10 @@ def forest(doc: np.ndarray, n: np.ndarray, sets: list[np.ndarray], name: np.ndar
 
 
 @tidy
-def forest_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def forest_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: bytes) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of rows (place, doc, digest, n, name, room, text) sorted by place and n. Of a doc_id with
     several texts, the one of the digest counts."""
-    unpacker = zstandard.ZstdDecompressor()
+    unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(common) if common else None)
     for t in by_key(batches, "place"):
         place = t.column("place").to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
@@ -376,10 +387,10 @@ def forest_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _verified(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(rows: DataFrame, texts: DataFrame, k: int, percent: int, common: bytes) -> DataFrame:
     """Links among rows (place, doc, digest, n, name, room)."""
     dealt = rows.join(texts, "doc").select("place", "doc", "digest", "n", "name", "room", "text").repartition(F.col("place")).sortWithinPartitions("place", "n")
-    return dealt.mapInArrow(lambda b: forest_batches(b, k, percent), "a long, b long")
+    return dealt.mapInArrow(lambda b: forest_batches(b, k, percent, common), "a long, b long")
 
 
 SHOWN = ["place", "key", "doc", "digest", "n", "name", "room", "sketch", "keys"]
@@ -425,7 +436,7 @@ def _parts(count: str, tokens: str) -> F.Column:
     return F.greatest(F.ceil(F.col(count) / F.lit(BLOCK)), F.ceil(F.col(tokens) / F.lit(TOKENS))).cast("int")
 
 
-def _first_round(found: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _first_round(found: DataFrame, texts: DataFrame, k: int, percent: int, common: bytes) -> tuple[DataFrame, DataFrame]:
     """Links within the bucket of least key of each document, and where (room) each document was verified."""
     home = found.groupBy("doc", "digest", "n").agg(F.min("key").alias("home"))
     size = home.groupBy("home").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.min(F.struct("digest", "doc")).alias("pivot")).where("rows > 1")
@@ -437,10 +448,10 @@ def _first_round(found: DataFrame, texts: DataFrame, k: int, percent: int) -> tu
     placed = placed.withColumn("to", to)
     rooms = placed.where("to = own").select("doc", "digest", F.xxhash64("home", "own").alias("room"))
     rows = placed.select(F.xxhash64("home", "to").alias("place"), "doc", "digest", "n", F.col("digest").alias("name"), F.col("digest").alias("room"))
-    return _verified(rows, texts, k, percent), rooms
+    return _verified(rows, texts, k, percent, common), rooms
 
 
-def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int, common: bytes) -> DataFrame:
     """Links between documents of different names in buckets that hold such."""
     rows = found.drop("name", "room").join(named, ["doc", "digest"])
     names = rows.groupBy("key", "name").agg(F.count("*").alias("rows"))
@@ -457,7 +468,7 @@ def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts
     left = left.join(keys.join(sketches, ["doc", "digest"]), ["doc", "digest"]).select(F.xxhash64("key", "to").alias("place"), *SHOWN[1:])
     dealt = left.repartition(F.col("place")).sortWithinPartitions("place", "n")
     shown = "place long, doc long, digest long, n long, name long, room long"
-    return _verified(written(dealt.mapInArrow(lambda b: nearer_batches(b, percent), shown)), texts, k, percent)
+    return _verified(written(dealt.mapInArrow(lambda b: nearer_batches(b, percent), shown)), texts, k, percent, common)
 
 
 def frequent_class(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -487,17 +498,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     index = index.repartition(F.col("key")).sortWithinPartitions("key", "digest").mapInArrow(met_batches, ENTRY)
     sets = every.where("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("short").alias("digest")).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "s0", "s1")])
     found = with_partners(index.join(sets, "digest").select(*[c.split()[0] for c in INDEX.split(", ")]), percent)
-    # Texts move once; what follows reads those of documents that have a partner.
-    held = texts.where("doc_id IS NOT NULL").mapInArrow(pack_batches, "doc long, text binary")
-    held = written(held.join(found.select("doc").distinct(), "doc", "left_semi"))
-    links, rooms = _first_round(found, held, k, percent)
+    common = common_parts(texts)
+    # Texts move once; what follows reads those of documents that have a partner, by document.
+    held = texts.where("doc_id IS NOT NULL").mapInArrow(lambda b: pack_batches(b, common), "doc long, text binary")
+    held = bucketed(held.join(found.select("doc").distinct(), "doc", "left_semi"), buckets(spark), "doc")
+    links, rooms = _first_round(found, held, k, percent, common)
     links = written(links)
     label = components(links)
     named = found.select("doc", "digest").distinct().join(rooms, ["doc", "digest"], "left").join(label, F.col("doc") == label["node"], "left")
     named = written(named.select("doc", "digest", F.coalesce("component", "doc").alias("name"), F.coalesce("room", "digest").alias("room")))
     sketches = every.where("sketch IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("short").alias("digest"), "sketch")
     sketches = sketches.join(named.select("doc", "digest"), ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"])
-    more = written(_second_round(found, named, sketches, held, k, percent))
+    more = written(_second_round(found, named, sketches, held, k, percent, common))
     # Equal sets meet at the least id of their digest.
     least = nodes.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     equal = nodes.where("doc_id IS NOT NULL").join(least, "digest").where("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
