@@ -54,18 +54,25 @@ delete depth detail device digest direct document domain double download driver
 export factory field file filter find first flag folder font format frame function group handle header height history home host image import index input
 install item iterator join json key label language last layer layout left length level library license limit line link list load local lock login machine
 manager map margin mask master match matrix memory menu merge message method minute mode model module month move name network node number object offset
-option order origin output owner package page panel parent partition password path pattern""",
+option order origin output owner package page panel parent partition password path pattern
+payment period permission phone picture pixel player plugin point policy port position prefix price print process product profile program project property
+proxy public query queue quick quota quote random range rate record refresh region register release remote render replace reply report request reset resource
+response result return role root route row rule sample save scale schedule schema scope screen script scroll search section select sender sequence server service
+session setting shadow shape share sheet shell signal size socket sort source space split stack stage start state status storage store stream string style
+submit subject summary support switch symbol system table target task template test text theme thread threshold time timeout title token tool total trace
+track transaction transfer tree trigger type unit update upload user validate value variable vector version vertical video view visible volume warning watch weight
+widget width window word work worker workspace wrapper write year zone zoom""",
     "de": """abfrage absender adresse anfrage anmeldung antwort anzahl anzeige auftrag ausgabe auswahl bearbeitung benutzer bericht beschreibung bestellung betrag
-datei daten dienst drucker einstellung eingabe ereignis fehler feld fenster gesellschaft groesse grundlage hauptmann inhalt jahr kennung kennwort konto kunde kapitaen
+datei daten dienst drucker einstellung eingabe ereignis fehler feld fenster gesellschaft groesse grundlage hauptmann inhalt jahr kennung kennwort konto kunde
 liste meldung nachricht nummer ordner pruefung quelle rechnung reihenfolge schluessel seite sicherheit speicher sprache stunde tabelle telefon uebersicht verbindung
-versicherung verwaltung verzeichnis vorlage wert woche zahlung zeichen zeile zeit ziel zugriff zustand dampf donau fahrt schiff schaft keit lich ung""",
+versicherung verwaltung verzeichnis vorlage wert woche zahlung zeichen zeile zeit ziel zugriff zustand keit lich ung""",
     "fr": """accueil adresse affichage annee appel article attente bouton bureau chaine champ chemin client commande compte connexion contenu couleur courriel demande
-dernier donnees dossier ecran element enregistrement entree erreur espace etat facture fenetre fichier fournisseur gestion groupe heure identifiant image jour langue
-ligne liste livraison message mise modele montant navigateur niveau nombre nouveau numero ordre page paiement parametre personne premier produit profil question
-recherche requete reseau resultat securite serveur service session sortie supprimer tableau taille telephone texte titre traitement utilisateur valeur ville""",
+dernier donnees dossier ecran element enregistrement entree erreur espace etat facture fenetre fichier fournisseur gestion groupe heure image jour langue
+ligne liste livraison message mise modele montant navigateur niveau nombre nouveau ordre page paiement parametre personne premier produit profil question
+recherche requete reseau resultat securite serveur service session sortie supprimer tableau taille telephone texte titre traitement valeur ville""",
     "es": """aplicacion archivo ayuda buscar cadena cambio campo cantidad carpeta ciudad clave cliente codigo columna conexion configuracion consulta contenido contrasena
 correo cuenta datos descripcion descarga direccion documento empresa entrada envio equipo error estado etiqueta factura fecha fila formulario fuente grupo idioma
-imagen informacion inicio lista llamada mensaje modelo navegador nivel nombre nuevo numero orden pagina pago pantalla pedido perfil persona primero producto prueba
+imagen informacion inicio lista llamada mensaje modelo navegador nivel nombre nuevo orden pagina pago pantalla pedido perfil persona primero producto prueba
 pregunta proveedor registro respuesta resultado salida seguridad servicio servidor sesion siguiente sistema tabla tamano tarea telefono texto titulo ultimo usuario valor""",
 }
 
@@ -75,8 +82,14 @@ def training_samples(n: int = SAMPLES, seed: int = 7, held_out: bool = False) ->
     HELD_OUT-th part of a language is in held-out identifiers only, and they have no others."""
     r = random.Random(seed)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    alphabets = [upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "_-", upper + digits, lower + digits, digits + "abcdef", upper + lower, lower, upper]
-    noise = ["".join(r.choice(alphabets[k % len(alphabets)]) for _ in range(r.randint(LEAST, 64))) for k in range(n)]
+    alphabets = [upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "_-", upper + digits, lower + digits, digits + "abcdef", upper + lower, lower, upper, digits + "ABCDEF"]
+
+    def grouped(hexes: str) -> str:
+        return "-".join("".join(r.choice(hexes) for _ in range(m)) for m in (8, 4, 4, 4, 12))
+
+    # One in eleven is grouped as in a UUID, the others run over one alphabet each.
+    kinds = len(alphabets) + 1
+    noise = ["".join(r.choice(alphabets[k % kinds]) for _ in range(r.randint(LEAST, 64))) if k % kinds < kinds - 1 else grouped(digits + r.choice(("abcdef", "ABCDEF"))) for k in range(n)]
     parts_of = [[w for k, w in enumerate(words.split()) if (k % HELD_OUT == 0) == held_out] for words in PARTS.values()]
     plain = []
     while len(plain) < n:
