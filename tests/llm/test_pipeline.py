@@ -63,3 +63,24 @@ def test_empty_and_null_rows(spark, tmp_path):
     for k, data in enumerate(([], [(None, None, None, None, None)] * 2, [(1, "", "en", None, 0)])):
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / str(k) / "documents.parquet"))
         assert P.run(spark, str(tmp_path / str(k))).count() == 0
+
+
+CLASHING = ["score", "key", "n", "digest", "place", "kept", "rank", "__take", "column1", "name"]
+
+
+def test_extra_columns_with_clashing_names_go_through(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 80")
+    docs = docs.unionByName(docs.where("doc_id % 10 = 0")).unionByName(docs.where("doc_id = 3").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars"))
+    wide = docs.selectExpr("*", *[f"concat('{c}', coalesce(doc_id, -1)) AS {c}" for c in CLASHING])
+    plain, other = [docs], [wide]
+    for k, (_, stage) in enumerate(P.STAGES):
+        for name, chain in (("plain", plain), ("wide", other)):
+            path = str(tmp_path / f"{name}{k}")
+            stage(spark, chain[-1], SF).write.parquet(path)
+            chain.append(spark.read.parquet(path))
+        key = lambda rows: sorted(map(str, rows))
+        names = COLUMNS if k < 4 else plain[-1].columns
+        assert key(tuple(r) for r in plain[-1].select(names).collect()) == key(tuple(r) for r in other[-1].select(names).collect())
+        if k < 4:
+            assert other[-1].columns == wide.columns and plain[-1].count() > 0
+            assert other[-1].where(" OR ".join(f"{c} <> concat('{c}', coalesce(doc_id, -1))" for c in CLASHING)).count() == 0
