@@ -465,7 +465,8 @@ def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts
     part = F.pmod(F.xxhash64("digest"), "parts").cast("int")
     left = left.join(size, "key").withColumn("to", F.explode(F.when(F.col("name") == F.col("major"), F.array(part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     keys = left.groupBy("doc", "digest").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # those of one document
-    left = left.join(keys.join(sketches, ["doc", "digest"]), ["doc", "digest"]).select(F.xxhash64("key", "to").alias("place"), *SHOWN[1:])
+    left = left.join(keys.join(sketches, ["doc", "digest"]), ["doc", "digest"]).withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))  # of the others none is asked for
+    left = left.select(F.xxhash64("key", "to").alias("place"), *SHOWN[1:])
     dealt = left.repartition(F.col("place")).sortWithinPartitions("place", "n")
     shown = "place long, doc long, digest long, n long, name long, room long"
     return _verified(written(dealt.mapInArrow(lambda b: nearer_batches(b, percent), shown)), texts, k, percent, common)
