@@ -305,26 +305,26 @@ def county_districts(v):
     return v.assign.groupBy("seed", "step", "county").agg(F.count_distinct("district").cast("double").alias("x"))
 
 
-@query("agg_24_county_drift", f"WITH {COUNTY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY seed, county ORDER BY step) AS up, row_number() OVER (PARTITION BY seed, county ORDER BY step DESC) AS down FROM k) SELECT seed, county, avg(x) AS mean, avg(x) FILTER (WHERE down <= 2) - avg(x) FILTER (WHERE up <= 2) AS drift FROM r GROUP BY 1, 2")
+@query("agg_24_county_drift", f"WITH {COUNTY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY seed, county ORDER BY step) AS up, row_number() OVER (PARTITION BY seed, county ORDER BY step DESC) AS down FROM k) SELECT seed, county, round(avg(x), 9) AS mean, round(avg(x) FILTER (WHERE down <= 2) - avg(x) FILTER (WHERE up <= 2), 9) AS drift FROM r GROUP BY 1, 2")
 def agg_24(v):
     w = Window.partitionBy("seed", "county")
     k = county_districts(v).withColumns({"up": F.row_number().over(w.orderBy("step")), "down": F.row_number().over(w.orderBy(F.desc("step")))})
     part = lambda c: F.avg(F.when(F.col(c) <= 2, F.col("x")))
-    return k.groupBy("seed", "county").agg(F.avg("x").alias("mean"), (part("down") - part("up")).alias("drift"))
+    return k.groupBy("seed", "county").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(part("down") - part("up"), 9).alias("drift"))
 
 
-@query("agg_25_seed_range", f"WITH {COUNTY_SQL}, m AS (SELECT seed, county, avg(x) AS m FROM k GROUP BY 1, 2) SELECT county, max(m) - min(m) AS seed_range FROM m GROUP BY 1 ORDER BY seed_range DESC, county")
+@query("agg_25_seed_range", f"WITH {COUNTY_SQL}, m AS (SELECT seed, county, avg(x) AS m FROM k GROUP BY 1, 2) SELECT county, round(max(m) - min(m), 9) AS seed_range FROM m GROUP BY 1 ORDER BY seed_range DESC, county")
 def agg_25(v):
     m = county_districts(v).groupBy("seed", "county").agg(F.avg("x").alias("m"))
-    return m.groupBy("county").agg((F.max("m") - F.min("m")).alias("seed_range")).orderBy(F.desc("seed_range"), "county")
+    return m.groupBy("county").agg(F.round(F.max("m") - F.min("m"), 9).alias("seed_range")).orderBy(F.desc("seed_range"), "county")
 
 
-@query("agg_31_contrasts", f"WITH {COUNTY_SQL}, m AS (SELECT seed, county, avg(x) AS m FROM k GROUP BY 1, 2) SELECT a.seed, a.county, a.m - avg(b.m) AS contrast FROM m a JOIN m b ON a.county = b.county AND a.seed <> b.seed GROUP BY a.seed, a.county, a.m")
+@query("agg_31_contrasts", f"WITH {COUNTY_SQL}, m AS (SELECT seed, county, avg(x) AS m FROM k GROUP BY 1, 2) SELECT a.seed, a.county, round(a.m - avg(b.m), 9) AS contrast FROM m a JOIN m b ON a.county = b.county AND a.seed <> b.seed GROUP BY a.seed, a.county, a.m")
 def agg_31(v):
     m = county_districts(v).groupBy("seed", "county").agg(F.avg("x").alias("m"))
     w = Window.partitionBy("county")
     n = F.count("*").over(w)
-    return m.select("seed", "county", F.when(n > 1, F.col("m") - (F.sum("m").over(w) - F.col("m")) / (n - 1)).alias("contrast")).where("contrast IS NOT NULL")
+    return m.select("seed", "county", F.round(F.when(n > 1, F.col("m") - (F.sum("m").over(w) - F.col("m")) / (n - 1)), 9).alias("contrast")).where("contrast IS NOT NULL")
 
 
 @query("agg_22_election_range", f"WITH {D_SUMS}, s AS (SELECT seed, step, count(*) FILTER (WHERE dem > rep) AS n FROM d GROUP BY 1, 2) SELECT seed, count(*) AS checkpoints, min(n) AS least, median(n) AS middle, max(n) AS most FROM s GROUP BY 1")
