@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,7 @@ GAP = r"[\x20\x09-\x0D]+"
 BATCH = 2000
 
 _shipped: set[str] = set()
+_kept: dict[str, Callable[[], None]] = {}  # folders of the tables that are still there, and what removes each
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,7 +71,7 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # shuffle files of what is now written go with their last reference
-    atexit.register(discard, spark, path)
+    _kept[path] = functools.partial(discard, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mapstats_path = path
     return out
@@ -85,6 +87,22 @@ def discard(spark: SparkSession, path: str) -> None:
         return
 
 
+def tables() -> set[str]:
+    """Folders of the tables that written() and bucketed() made and that are still there."""
+    return set(_kept)
+
+
+def release(paths: Iterable[str]) -> None:
+    """Remove tables whose last reader has been written; the others go when the driver ends."""
+    for p in paths:
+        gone = _kept.pop(p, None)
+        if gone is not None:
+            gone()
+
+
+atexit.register(lambda: release(list(_kept)))
+
+
 def buckets(spark: SparkSession) -> int:
     """How many buckets a table gets: the session's shuffle partitions, so that joins keep them."""
     return min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -98,7 +116,7 @@ def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
     df.write.format("parquet").option("path", path).bucketBy(n, *keys).saveAsTable(name)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    atexit.register(_drop, spark, name, path)
+    _kept[path] = functools.partial(_drop, spark, name, path)
     return spark.table(name)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import release, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -21,7 +21,6 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the least node reachable, for each node in a link. Links are pairs of longs."""
-    spark = links.sparkSession
     now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
@@ -32,7 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         star = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         following = written(star.where("u <> v").distinct())
         mark = tuple(following.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        discard(spark, now._mapstats_path)
+        release([now._mapstats_path])
         now = following
         if mark == before:
             break
