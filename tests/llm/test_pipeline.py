@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import duckdb
 import numpy as np
@@ -7,6 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from mapstats.llm import mixing, quality_rules, secret_scan
+from mapstats.llm.common import tables
 
 from .test_ngram_join import brute as components
 from .test_secret_scan import brute as secrets
@@ -54,6 +56,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted((*r[:4], list(r[4])) for r in rows[5]) == sorted(want)
 
 
+def test_tables_of_a_stage_go_when_the_next_has_other_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    before = tables()
+    kept = P.quality(spark, docs, SF)
+    made = tables() - before
+    assert made
+    late = P.near_duplicates(spark, kept, SF)  # not written between: what it reads stays
+    assert made <= tables()
+    late.write.parquet(str(tmp_path / "kept"))
+    P.secrets(spark, spark.read.parquet(str(tmp_path / "kept")), SF)
+    assert tables() <= before and not any(os.path.exists(p) for p in made)
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
 
