@@ -233,6 +233,50 @@ def win_10(v):
     return d.groupBy("seed").agg(F.count_if(F.col("d") > 0).alias("rising"), F.count_if(F.col("d") < 0).alias("falling"), F.round(F.max_by("m", "win") - F.min_by("m", "win"), 9).alias("net"))
 
 
+AUDITED = ("cut_edges", "dem_seats")
+AUDIT_SQL = f"""WITH l AS (UNPIVOT (SELECT experiment, seed, step, {", ".join(f"{m}::BIGINT AS {m}" for m in AUDITED)} FROM v_trace) ON {", ".join(AUDITED)} INTO NAME metric VALUE value),
+a AS (SELECT experiment, unnest(range({WIDTH}, n + 1, {WIDTH})) AS states FROM (SELECT experiment, min(c) AS n FROM (SELECT experiment, seed, count(*) AS c FROM v_trace GROUP BY 1, 2) GROUP BY 1)),
+h AS (SELECT experiment, metric, states, seed, step < states // 2 AS first, avg(value) AS m, var_samp(value) AS v FROM l JOIN a USING (experiment) WHERE step < states GROUP BY ALL),
+r AS (SELECT experiment, metric, states, sqrt(((states // 2 - 1) * avg(v) + states // 2 * var_samp(m)) / (states // 2) / nullif(avg(v), 0)) AS r FROM h GROUP BY 1, 2, 3),
+d AS (SELECT *, r - lag(r) OVER (PARTITION BY experiment, metric ORDER BY states) AS d FROM r)"""
+
+
+def audits(trace, metrics=AUDITED, width=WIDTH):
+    """experiment, metric, states, r_hat, change: split R-hat of the first so many states of all chains of an experiment, for
+    each multiple of width (even) up to its shortest chain, and the change from the length before; null where nothing varies.
+    Metrics are whole numbers and steps run from 0 without gaps. States are added up once, by half widths; a
+    length takes its halves from running sums at its middle and its end, so more lengths cost no further reading."""
+    keys, half = ["experiment", "metric", "seed"], width // 2
+    t = trace.select("experiment", "seed", "step", *[F.col(m).cast("long").alias(m) for m in metrics]).unpivot(["experiment", "seed", "step"], list(metrics), "metric", "value")
+    c = t.groupBy(*keys, F.floor(F.col("step") / half).alias("chunk")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    so_far = Window.partitionBy(*keys).orderBy("chunk")
+    p = c.select(*keys, (F.col("chunk") + 1).alias("at"), *[F.sum(x).over(so_far).alias(x) for x in ("n", "s", "q")])
+    ends = F.array(F.struct((F.col("at") * 2).alias("end"), F.lit(True).alias("middle")), F.struct(F.when(F.col("at") % 2 == 0, F.col("at")).alias("end"), F.lit(False).alias("middle")))
+    e = p.where(F.col("n") == F.col("at") * half).select(*keys, "s", "q", F.explode(ends).alias("e")).select(*keys, "s", "q", "e.*").where("end IS NOT NULL")
+    at = lambda x, middle: F.max(F.when(F.col("middle") == middle, F.col(x)))
+    g = e.groupBy(*keys, "end").agg(*[at(x, m).alias(f"{x}{k}") for x in "sq" for k, m in ((1, True), (2, False))]).where("s2 IS NOT NULL")
+    n = F.col("end") / 2 * half
+    halves = F.array(*[F.struct(s.cast("double").alias("s"), q.cast("double").alias("q")) for s, q in ((F.col("s1"), F.col("q1")), (F.col("s2") - F.col("s1"), F.col("q2") - F.col("q1")))])
+    h = g.select(*keys, "end", n.alias("h"), F.explode(halves).alias("x")).select("experiment", "metric", "end", "h", (F.col("x.s") / n).alias("m"), ((F.col("x.q") - F.col("x.s") * F.col("x.s") / n) / (n - 1)).alias("v"))
+    w = F.avg("v")
+    r = h.groupBy("experiment", "metric", "end", "h").agg(F.sqrt(F.try_divide((F.col("h") - 1) * w + F.col("h") * F.var_samp("m"), F.col("h") * w)).alias("r_hat"))
+    shortest = c.groupBy(*keys).agg(F.sum("n").alias("n")).groupBy("experiment", "metric").agg(F.min("n").alias("shortest"))
+    r = r.withColumn("states", F.col("end") * half).join(shortest, ["experiment", "metric"]).where("states <= shortest")
+    return r.select("experiment", "metric", "states", "r_hat", (F.col("r_hat") - F.lag("r_hat").over(Window.partitionBy("experiment", "metric").orderBy("states"))).alias("change"))
+
+
+@query("win_10_rhat_lengths", AUDIT_SQL + " SELECT experiment, metric, states, round(r, 9) AS r_hat, round(d, 9) AS change FROM d")
+def win_10_lengths(v):
+    return audits(v.trace).withColumns({c: F.round(c, 9) for c in ("r_hat", "change")})
+
+
+@query("win_10_rhat_changes", AUDIT_SQL + " SELECT experiment, metric, count(*) AS audits, count(*) FILTER (WHERE round(d, 9) > 0) AS rising, count(*) FILTER (WHERE round(d, 9) < 0) AS falling, round(arg_max(r, states) - arg_min(r, states), 9) AS net FROM d GROUP BY 1, 2")
+def win_10_changes(v):
+    d = F.round("change", 9)
+    g = audits(v.trace).groupBy("experiment", "metric")
+    return g.agg(F.count("*").alias("audits"), F.count_if(d > 0).alias("rising"), F.count_if(d < 0).alias("falling"), F.round(F.max_by("r_hat", "states") - F.min_by("r_hat", "states"), 9).alias("net"))
+
+
 @query(
     "win_11_consecutive_plans",
     """WITH s AS (SELECT seed, step, node, totpop, district FROM v_assign), p AS (SELECT a.seed, a.step, a.district AS x, b.district AS y, sum(a.totpop) AS m FROM s a JOIN s b ON a.seed = b.seed AND a.node = b.node AND b.step = a.step - 100 GROUP BY 1, 2, 3, 4),

@@ -191,6 +191,33 @@ def dia_14(v):
     return s.select(*C.GROUP, *[F.round(c, 9).alias(n) for n, c in out.items()])
 
 
+def without_each(trace: DataFrame) -> DataFrame:
+    """cohort, omitted, metric, seed, step, value: for each chain, the draws of all the others, cut to the shortest of these."""
+    n = trace.groupBy("seed").agg(F.count("*").alias("n"))
+    others = n.select(F.col("seed").alias("omitted")).join(n, F.col("omitted") != F.col("seed"))  # rows of chains, not of states
+    ends = others.groupBy("omitted").agg(F.min("n").alias("shortest"))
+    t = trace.select("seed", "step", *[F.col(m).cast("double").alias(m) for m in METRICS])
+    t = t.join(others.select("omitted", "seed").join(ends, "omitted"), "seed").where("step < shortest")
+    t = t.withColumn("cohort", F.concat(F.lit("without_"), F.col("omitted").cast("string")))
+    return t.unpivot(["cohort", "omitted", "seed", "step"], list(METRICS), "metric", "value")
+
+
+WITHOUT = LONG.replace("j AS (SELECT cohort, seed, step, metric, value FROM l UNION ALL SELECT 'joint', seed, step, metric, value FROM l)", "j AS (SELECT 'without_' || omitted AS cohort, seed, step, metric, value FROM l, (SELECT DISTINCT seed AS omitted FROM v_trace) WHERE seed <> omitted)")
+
+
+@query(
+    "dia_13_without_chain",
+    f"""WITH {WITHOUT}, b AS ({ranks_sql("value")}), f AS ({ranks_sql("away", "(SELECT *, abs(value - median(value) OVER (PARTITION BY cohort, metric)) AS away FROM d)")}), rb AS ({rhat_sql("b")}), rf AS ({rhat_sql("f")}),
+    z AS ({ranks_sql("value", "(SELECT * FROM d WHERE chain IS NOT NULL)")}), {ess_sql("(SELECT cohort, metric, chain, pos, z AS x FROM z)", "e")}, s AS (SELECT cohort, metric, count(*) AS states, any_value(chains) AS chains, avg(value) AS mean FROM d GROUP BY 1, 2)
+    SELECT cohort[9:]::INTEGER AS omitted, metric, chains::INTEGER AS chains, states, round(mean, 9) AS mean, round(greatest(rb.r, rf.r), 9) AS r_hat, round(ess, 6) AS bulk_ess FROM s JOIN rb USING (cohort, metric) JOIN rf USING (cohort, metric) JOIN e USING (cohort, metric)""",
+)
+def dia_13_without(v):
+    """Which chain the disagreement comes from: the diagnostics of all chains but one, for each."""
+    s = C.statistics(without_each(v.trace).drop("omitted"))
+    omitted = F.substring_index("cohort", "_", -1).cast("int").alias("omitted")
+    return s.select(omitted, "metric", F.col("chains").cast("int").alias("chains"), "states", F.round("mean", 9).alias("mean"), F.round("r_hat", 9).alias("r_hat"), F.round("bulk_ess", 6).alias("bulk_ess"))
+
+
 @query("dia_15_projection")
 def dia_15(v):
     r = statistics(v).select(*C.GROUP, "states", F.col("bulk_ess").alias("ess"), F.greatest(F.lit(400), 100 * F.col("chains")).cast("int").alias("needed"))

@@ -210,6 +210,20 @@ def agg_26(v):
     return far.agg(mean(F.col("same_chain")).alias("within_mean"), mean(~F.col("same_chain")).alias("between_mean"), F.count("*").alias("pairs"))
 
 
+def along_chain(assign):
+    """seed, step, to, x, y, totpop: a unit's district in a saved state (x), and in the saved state before or the chain's first (y)."""
+    order = Window.partitionBy("seed", "node").orderBy("step")
+    s = assign.select("seed", "step", "totpop", F.col("district").alias("x"), F.lag("district").over(order).alias("previous"), F.first("district").over(order).alias("first"))
+    other = F.array(*[F.struct(F.lit(c).alias("to"), F.col(c).alias("y")) for c in ("previous", "first")])
+    return s.where("previous IS NOT NULL").select("seed", "step", "x", "totpop", F.explode(other).alias("o")).select("seed", "step", "o.to", "x", "o.y", "totpop")
+
+
+@query("win_11_matched_plans")
+def win_11_matched(v):
+    """How like a saved state is to the one before and to the first of its chain, whatever the labels of districts."""
+    return P.population_similarity(along_chain(v.assign), "seed", "step", "to")
+
+
 @query("flt_11_long_lag_pairs", f"WITH {PAIRS_SQL}, l AS (SELECT a.i, b.i AS j, abs(a.step - b.step) AS lag FROM c a JOIN c b ON a.i < b.i) SELECT i, j, lag FROM l WHERE lag >= 200")
 def flt_11(v):
     c = materialised(P.numbered_states(v.saved))
