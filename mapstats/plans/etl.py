@@ -308,6 +308,31 @@ def j_17(v):
     return one(e.exceptAll(a), "missing").crossJoin(one(a.exceptAll(e), "extra")).crossJoin(double)  # one row each
 
 
+def key_faults(actual, expected, *keys):
+    """keys, fault, times: keys of expected that actual has not (missing), keys that only actual has (unexpected), and keys that
+    actual has more than once (duplicate; one that is unexpected as well has two rows). Null keys are keys; those of expected count once."""
+    a = actual.groupBy(*keys).agg(F.count("*").alias("times"))
+    both = a.select(*keys, "times", F.lit(0).alias("wanted")).unionByName(expected.select(*keys, F.lit(0).cast("long").alias("times"), F.lit(1).alias("wanted")))
+    g = both.groupBy(*keys).agg(F.sum("times").alias("times"), F.max("wanted").alias("wanted"))
+    kinds = F.array_compact(F.array(F.when(F.col("times") == 0, F.lit("missing")), F.when(F.col("wanted") == 0, F.lit("unexpected")), F.when(F.col("times") > 1, F.lit("duplicate"))))
+    return g.select(*keys, F.explode(kinds).alias("fault"), "times")
+
+
+@query(
+    "j_17_coverage_faults",
+    """WITH e AS (SELECT node, district FROM v_plans WHERE plan = 'cols'),
+    a AS (SELECT node, CASE WHEN node % 101 = 3 THEN district + 50 ELSE district END AS district FROM e WHERE node % 97 <> 5 UNION ALL SELECT node, district FROM e WHERE node % 89 = 7 AND node % 97 <> 5 AND node % 101 <> 3)
+    SELECT node, district, 'missing' AS fault, 0::BIGINT AS times FROM e ANTI JOIN a USING (node, district)
+    UNION ALL SELECT node, district, 'unexpected', count(*) FROM (SELECT * FROM a ANTI JOIN e USING (node, district)) GROUP BY ALL
+    UNION ALL SELECT node, district, 'duplicate', count(*) FROM a GROUP BY ALL HAVING count(*) > 1""",
+)
+def j_17_faults(v):
+    """A copy of a plan with units left out, listed twice and under a district that the plan has not: each is found."""
+    e = v.plans.where("plan = 'cols'").select("node", "district")
+    a = e.where("node % 97 <> 5").withColumn("district", F.when(F.col("node") % 101 == 3, F.col("district") + 50).otherwise(F.col("district")))
+    return key_faults(a.unionByName(a.where("node % 89 = 7 AND node % 101 <> 3")), e, "node", "district")
+
+
 # --- aggregates ---
 
 

@@ -133,6 +133,26 @@ def met_14(v):
     return v.units.join(b, "node", "left").agg(F.count("*").alias("units"), F.count_if(same).alias("equal"))
 
 
+def allocation_faults(blocks, units, *votes):
+    """node, and for each of votes the published total of a unit less the sum of its blocks, where one of them is not 0. Units
+    without blocks have sums of 0, blocks of a unit that is not published are against 0; blocks without a unit go under a null node."""
+    sums = blocks.groupBy(F.col("unit_node").alias("node")).agg(*[F.sum(c).alias(c) for c in votes])
+    signed = units.select("node", *votes).unionByName(sums.select("node", *[(-F.col(c)).alias(c) for c in votes]))
+    g = signed.groupBy("node").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_difference") for c in votes])
+    return g.where(" OR ".join(f"{c}_difference <> 0" for c in votes))
+
+
+@query(
+    "met_14_allocation_faults",
+    """SELECT node, dem_difference, rep_difference FROM (SELECT u.node, CASE WHEN u.node % 113 = 1 THEN 2 ELSE 0 END::BIGINT AS dem_difference, CASE WHEN u.node % 127 = 4 THEN -u.rep ELSE 0 END::BIGINT AS rep_difference FROM v_units u) WHERE dem_difference <> 0 OR rep_difference <> 0""",
+)
+def met_14_faults(v):
+    """Published unit totals with votes added in some units and lost in others, against their blocks: each is told with its amount."""
+    dem = F.col("dem") + F.when(F.col("node") % 113 == 1, 2).otherwise(0)
+    rep = F.when(F.col("node") % 127 == 4, F.lit(0)).otherwise(F.col("rep"))
+    return allocation_faults(v.blocks, v.units.select("node", dem.alias("dem"), rep.alias("rep")), "dem", "rep")
+
+
 # --- partitions ---
 
 
@@ -383,6 +403,39 @@ def gra_05(v):
     return v.units.agg(F.count("*").alias("nodes"), F.sum("totpop").alias("totpop")).crossJoin(v.edges.agg(F.count("*").alias("edges"))).select("nodes", "edges", "totpop")  # one row each
 
 
+def conserved(blocks, units, edges, *votes):
+    """quantity, expected, found, conserved of a graph of units: each column as the blocks have it in sum, edges between
+    different units that are there, each once, and degrees that add up to two for each edge."""
+    sums = lambda df: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in votes]).unpivot([], list(votes), "quantity", "value")
+    known = units.select("node").distinct()
+    fine = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    fine = fine.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    degrees = ends.join(known, "node", "left_semi").groupBy("node").agg(F.count("*").alias("d"))
+    one = lambda df, name, value: df.agg(F.coalesce(value, F.lit(0)).cast("long").alias("value")).select(F.lit(name).alias("quantity"), "value")
+    n = F.count("*")
+    expected = sums(blocks).unionByName(one(edges, "edges", n)).unionByName(one(edges, "degrees", 2 * n))
+    found = sums(units).unionByName(one(fine, "edges", n)).unionByName(one(degrees, "degrees", F.sum("d")))
+    both = expected.withColumnRenamed("value", "expected").join(found.withColumnRenamed("value", "found"), "quantity")  # a row a quantity
+    return both.withColumn("conserved", F.col("expected") == F.col("found"))
+
+
+@query(
+    "gra_05_conserved",
+    """WITH k AS (SELECT 'whole' AS graph UNION ALL SELECT 'changed'), u AS (SELECT graph, v_units.* FROM v_units, k WHERE graph = 'whole' OR node % 211 <> 8),
+    b AS (SELECT sum(totpop)::BIGINT AS totpop, sum(dem)::BIGINT AS dem, sum(rep)::BIGINT AS rep FROM v_blocks), n AS (SELECT count(*) AS n FROM v_edges),
+    s AS (SELECT graph, sum(totpop)::BIGINT AS totpop, sum(dem)::BIGINT AS dem, sum(rep)::BIGINT AS rep FROM u GROUP BY 1),
+    e AS (SELECT graph, count(*) FILTER (WHERE a AND b) AS edges, sum(a::INTEGER + b::INTEGER)::BIGINT AS degrees FROM (SELECT graph, graph = 'whole' OR src % 211 <> 8 AS a, graph = 'whole' OR dst % 211 <> 8 AS b FROM v_edges, k) GROUP BY 1),
+    r AS (SELECT graph, unnest(['totpop', 'dem', 'rep', 'edges', 'degrees']) AS quantity, unnest([b.totpop, b.dem, b.rep, n, 2 * n]) AS expected, unnest([s.totpop, s.dem, s.rep, edges, degrees]) AS found FROM s JOIN e USING (graph), b, n)
+    SELECT *, expected = found AS conserved FROM r""",
+)
+def gra_05_conserved(v):
+    """What a graph must conserve of its blocks and edges, of the whole graph and of one that lost units."""
+    graphs = {"whole": v.units, "changed": v.units.where("node % 211 <> 8")}
+    a, b = (conserved(v.blocks, u, v.edges, "totpop", "dem", "rep").select(F.lit(name).alias("graph"), "quantity", "expected", "found", "conserved") for name, u in graphs.items())
+    return a.unionByName(b)
+
+
 @query("gra_07_recom")
 def gra_07(v):
     return graph.sample_chains(v.units.select("node", "totpop", "dem", "rep"), v.edges, seeds=[1, 2, 3, 4], steps=10, parts=14, epsilon=0.1)
