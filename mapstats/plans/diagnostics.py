@@ -9,6 +9,7 @@ from mapstats.operators import convergence as C
 from mapstats.session import materialised
 from mapstats.sources.views import METRICS
 
+from .chains import THIN, WARMUP
 from .registry import query
 
 TAIL = 3
@@ -104,6 +105,38 @@ def dia_02(v):
     return chain_sizes(v, "pair_ess")
 
 
+def thinned_sizes(trace: DataFrame, value: str, ks: tuple[int, ...] = THIN, warmup: int = WARMUP) -> DataFrame:
+    """seed, k, retained, mean, sd, ess (stopped at the first autocorrelation that is not positive), ess_per_draw, and how
+    mean, sd and ess differ from those of all draws after warm-up (k = 1, which ks must hold), for every k-th of them.
+    Each chain is read once; a draw goes to the ks that divide its place."""
+    if 1 not in ks:
+        raise ValueError("1 must be among ks, as the others are compared with it")
+    place = F.col("step") - warmup
+    t = trace.where(place >= 0).select("seed", place.alias("at"), F.col(value).cast("double").alias("value"))
+    t = t.withColumn("every", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.col("at") % k == 0)))
+    draws = t.select("seed", "every", F.floor(F.col("at") / F.col("every")).alias("pos"), "value")
+    g = draws.groupBy("seed", "every").agg(F.count("*").alias("retained"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    g = materialised(g.join(C.chain_sizes(draws, ["seed", "every"]).select("seed", "every", F.col("simple_ess").alias("ess")), ["seed", "every"], "left"))
+    names = ("mean", "sd", "ess")
+    whole = g.where("every = 1").select("seed", *[F.col(c).alias(f"whole_{c}") for c in names])
+    out = g.join(whole, "seed").withColumn("ess_per_draw", F.col("ess") / F.col("retained"))
+    return out.select("seed", F.col("every").alias("k"), "retained", *names, "ess_per_draw", *[(F.col(c) - F.col(f"whole_{c}")).alias(f"{c}_delta") for c in names])
+
+
+@query(
+    "dia_12_thinning_sizes",
+    f"""WITH t AS (SELECT seed, k, (step - {WARMUP}) // k AS pos, cut_edges::DOUBLE AS x FROM v_trace, (VALUES {", ".join(f"({k})" for k in THIN)}) AS k(k) WHERE step >= {WARMUP} AND (step - {WARMUP}) % k = 0),
+    c AS (SELECT seed, k, pos, x - avg(x) OVER w AS c, count(*) OVER w AS n, var_pop(x) OVER w AS v FROM t WINDOW w AS (PARTITION BY seed, k)),
+    r AS (SELECT a.seed, a.k, lag, any_value(a.n) AS n, sum(a.c * b.c) / ((any_value(a.n) - lag) * any_value(a.v)) AS rho FROM c a, range(1, 64) r(lag), c b WHERE b.seed = a.seed AND b.k = a.k AND b.pos = a.pos + lag GROUP BY 1, 2, 3),
+    e AS (SELECT seed, k, min(lag) AS stop FROM r WHERE rho <= 0 GROUP BY 1, 2), s AS (SELECT seed, k, any_value(n) / (1 + 2 * coalesce(sum(rho) FILTER (lag < stop), 0)) AS ess FROM r JOIN e USING (seed, k) GROUP BY 1, 2),
+    g AS (SELECT seed, k, count(*) AS retained, avg(x) AS mean, stddev_samp(x) AS sd FROM t GROUP BY 1, 2), a AS (SELECT * FROM g JOIN s USING (seed, k))
+    SELECT a.seed, a.k, a.retained, round(a.mean, 8) AS mean, round(a.sd, 8) AS sd, round(a.ess, 6) AS ess, round(a.ess / a.retained, 8) AS ess_per_draw, round(a.mean - o.mean, 8) AS mean_delta, round(a.sd - o.sd, 8) AS sd_delta, round(a.ess - o.ess, 6) AS ess_delta FROM a JOIN a o ON o.seed = a.seed AND o.k = 1""",
+)
+def dia_12_sizes(v):
+    t = thinned_sizes(v.trace, "cut_edges")
+    return t.withColumns({c: F.round(c, 6 if c in ("ess", "ess_delta") else 8) for c in t.columns[3:]})
+
+
 def chain_sizes(v, name: str) -> DataFrame:
     draws = v.trace.select("experiment", "seed", F.col("step").alias("pos"), F.col("cut_edges").cast("double").alias("value"))
     return C.chain_sizes(draws, ["experiment", "seed"]).select("experiment", "seed", F.round(name, 6).alias("ess"))

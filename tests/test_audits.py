@@ -10,7 +10,7 @@ from mapstats.functions import diagnostics as D
 from mapstats.operators import convergence as C
 from mapstats.operators import partition as P
 from mapstats.plans.chains import audits
-from mapstats.plans.diagnostics import METRICS, without_each
+from mapstats.plans.diagnostics import METRICS, thinned_sizes, without_each
 from mapstats.plans.partitions import along_chain
 
 
@@ -76,3 +76,29 @@ def test_the_chain_that_disagrees_is_found(spark):
             assert (r.chains, r.states) == (3, 3 * n)
             assert r.mean == pytest.approx(x.mean()) and r.bulk_ess == pytest.approx(D.STATISTICS["bulk_ess"](x))
             assert r.r_hat == pytest.approx(D.STATISTICS["r_hat"](x)) and (r.r_hat < 1.1) == (omitted == 2)
+
+
+def test_thinned_sizes_against_arrays(spark):
+    rng = np.random.default_rng(3)
+    walk = np.cumsum(rng.normal(size=240)) * 0.3 + rng.normal(size=240)
+    chains = {1: walk, 2: rng.normal(size=131), 3: rng.normal(size=12)}  # the last ends before the warm-up does
+    trace = spark.createDataFrame([(s, t, float(x)) for s, xs in chains.items() for t, x in enumerate(xs)], "seed int, step long, value double").repartition(3)
+    got = {(r.seed, r.k): r for r in thinned_sizes(trace, "value", (1, 3, 10), 20).collect()}
+    assert set(got) == {(s, k) for s in (1, 2) for k in (1, 3, 10)}
+
+    def size(x):
+        c, total = x - x.mean(), 1.0
+        for lag in range(1, len(x)):
+            rho = (c[lag:] * c[:-lag]).sum() / ((len(x) - lag) * x.var())
+            if rho <= 0:
+                break
+            total += 2 * rho
+        return len(x) / total
+
+    for (s, k), r in got.items():
+        x, whole = chains[s][20::k], chains[s][20:]
+        assert r.retained == len(x) and r.mean == pytest.approx(x.mean()) and r.sd == pytest.approx(x.std(ddof=1))
+        assert r.ess == pytest.approx(size(x)) and r.ess_per_draw == pytest.approx(size(x) / len(x))
+        assert r.mean_delta == pytest.approx(x.mean() - whole.mean(), abs=1e-12) and r.ess_delta == pytest.approx(size(x) - size(whole), abs=1e-9)
+    with pytest.raises(ValueError):
+        thinned_sizes(trace, "value", (2, 3))
