@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,8 +41,9 @@ def district_sums(rows: DataFrame, *keys: str) -> DataFrame:
 
 def with_deviation(sums: DataFrame, *keys: str) -> DataFrame:
     """Relative deviation of each district from its plan's ideal population."""
-    ideal = sums.groupBy(*keys).agg((F.sum("totpop").cast("double") / F.count("*")).alias("ideal"))
-    return sums.join(ideal, list(keys)).withColumn("deviation", F.col("totpop") / F.col("ideal") - 1.0)
+    plan = Window.partitionBy(*keys)  # a row a district
+    ideal = F.sum("totpop").over(plan).cast("double") / F.count("*").over(plan)
+    return sums.withColumn("ideal", ideal).withColumn("deviation", F.col("totpop") / F.col("ideal") - 1.0)
 
 
 def scorecard(rows: DataFrame, *keys: str) -> DataFrame:
