@@ -58,7 +58,7 @@ def test_tables_against_brute_force(small, monkeypatch, chunk, blocks):
     assert got.keys() == tables.keys() and all(got[k] == pytest.approx(vi(t), abs=1e-7) for k, t in tables.items())
 
 
-@pytest.mark.parametrize("name", "agg_22_election_range agg_24_county_drift agg_25_seed_range agg_31_contrasts int_06_final_checkpoint j_10_leave_one_out j_11_trace_checkpoint met_01_seats met_02_efficiency_gap met_03_mean_median met_04_population met_07_uniform_swing met_10_least_margin met_11_seat_vectors met_13_winner par_04_similarity par_06_to_reference par_07_county_vi win_11_consecutive_plans win_11_matched_plans".split())
+@pytest.mark.parametrize("name", "agg_22_election_range agg_24_county_drift agg_25_seed_range agg_31_contrasts int_06_final_checkpoint j_10_leave_one_out j_11_trace_checkpoint met_01_seats met_02_efficiency_gap met_03_mean_median met_04_population met_07_uniform_swing met_10_least_margin met_11_seat_vectors met_13_winner par_04_similarity par_06_to_reference par_07_county_vi snk_06_checkpoint src_09_checkpoints win_11_consecutive_plans win_11_matched_plans".split())
 def test_no_table_of_all_units_of_all_states(spark, monkeypatch, name):
     def refuse(_):
         raise AssertionError("units times states were written")
@@ -66,3 +66,11 @@ def test_no_table_of_all_units_of_all_states(spark, monkeypatch, name):
     monkeypatch.setattr(views, "_ASSIGN", {})
     monkeypatch.setattr(views, "materialised", refuse)
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_checkpoints_come_back_whole(small, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "CHUNK", 64)
+    rows, states, units, saved = small
+    A.checkpoints(units, saved, labels).write.partitionBy("experiment", "seed").parquet(str(tmp_path / "c"))
+    got = A.read_checkpoints(spark.read.schema(A.CHECKPOINT).parquet(str(tmp_path / "c"))).collect()
+    assert {(r.seed, r.step): (r.units, r.labels) for r in got} == {(s, t): (len(rows), sum(labels(r[0], s, t) for r in rows)) for _, s, t in states}
