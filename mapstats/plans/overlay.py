@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mapstats.functions import geometry as G
 from mapstats.operators import overlay as O
+from mapstats.session import spread
 from mapstats.sources.views import WIDTH
 
 from .registry import query
@@ -61,7 +62,7 @@ def shapes(v) -> DataFrame:
             pdf["wkb"] = out
             yield pdf
 
-    return v.units.select(F.col("node").alias("id")).mapInPandas(build, "id long, wkb binary")
+    return spread(v.table("customer").select(F.col("c_custkey").alias("id")), "id").mapInPandas(build, "id long, wkb binary")
 
 
 def strips(v) -> DataFrame:

@@ -5,6 +5,7 @@ import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from mapstats.functions import geometry as G
 from mapstats.operators import contracts as C
@@ -123,3 +124,22 @@ def test_segment_files(spark, tmp_path):
     assert files.segment_faults(files.read_segments(spark, f"{tmp_path}/*.csv", schema)).count() == 0
     write("x_seed2_steps000000-000003.csv", 2, [0, 1, 3, 4])
     assert [r.file_seed for r in files.segment_faults(files.read_segments(spark, f"{tmp_path}/*.csv", schema)).collect()] == [2]
+
+
+@pytest.mark.parametrize("make", ["boxes", "shapes"])
+def test_work_on_shapes_is_spread(spark, make):
+    """Rows of a few bytes each would be merged into one task, whatever a shape costs."""
+    from mapstats.plans import io, overlay
+    from mapstats.sources.views import Views
+
+    made = {"boxes": io.boxes, "shapes": overlay.shapes}[make](Views(spark, "/root/testdata/sf0.001"))
+    tasks = G.measures(made).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism and max(t["count"] for t in tasks) < 40
+    assert made.count() == 150
+
+
+def test_boxes_are_those_of_measures(spark):
+    names = ["min_x", "min_y", "max_x", "max_y"]
+    multi = G.wkb_multi([[[(0.0, 0.0), (2.0, 0.0), (1.0, 3.0)]], [[(5.0, 5.0), (6.0, 5.0), (6.0, 7.0)], [(5.1, 5.1), (5.2, 5.1), (5.2, 5.2)]]])
+    shapes = spark.createDataFrame([(1, bytearray(multi)), (2, None), (3, bytearray(G.wkb_polygon([[(1.0, 1.0), (2.0, 1.0), (2.0, 4.0)]])))], "id long, wkb binary")
+    assert sorted(map(tuple, G.boxed(shapes).select("id", *names).collect())) == sorted(map(tuple, G.measures(shapes).select("id", *names).collect()))
