@@ -74,3 +74,13 @@ def test_checkpoints_come_back_whole(small, spark, tmp_path, monkeypatch):
     A.checkpoints(units, saved, labels).write.partitionBy("experiment", "seed").parquet(str(tmp_path / "c"))
     got = A.read_checkpoints(spark.read.schema(A.CHECKPOINT).parquet(str(tmp_path / "c"))).collect()
     assert {(r.seed, r.step): (r.units, r.labels) for r in got} == {(s, t): (len(rows), sum(labels(r[0], s, t) for r in rows)) for _, s, t in states}
+
+
+@pytest.mark.parametrize(("name", "first"), [("j_09_pairs", "i"), ("flt_11_long_lag_pairs", "i")])
+def test_pairs_of_states_are_spread(spark, name, first):
+    """The states are a small file, which one task would join with itself."""
+    from pyspark.sql import functions as F
+
+    pairs = QUERIES[name](spark, "/root/testdata/sf0.01")
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism
