@@ -84,3 +84,23 @@ def test_pairs_of_states_are_spread(spark, name, first):
     pairs = QUERIES[name](spark, "/root/testdata/sf0.01")
     tasks = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("blocks", [5, 48])
+def test_chunks_come_in_order_and_blocks_together(small, spark, monkeypatch, blocks):
+    """Spark leaves out a sort below a join: blocks that shared a task then came apart, and gave a state several rows."""
+    monkeypatch.setattr(A, "CHUNK", 16)
+    monkeypatch.setattr(A, "BLOCKS", blocks)
+    _, states, units, saved = small
+
+    def seen(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("block").cast(pa.int64()), batch.column("chunk")], ["block", "chunk"])
+
+    chunks = A.materialised(A.packed(units, [])).repartition(3)
+    rows = A._dealt(chunks, saved).coalesce(1).select("block", "chunk").mapInArrow(seen, "block long, chunk long").collect()
+    got = [tuple(r) for r in rows]
+    runs = [b for k, (b, _) in enumerate(got) if k == 0 or b != got[k - 1][0]]
+    assert len(runs) == len(set(runs)) and all(a[0] != b[0] or a[1] < b[1] for a, b in zip(got, got[1:]))
