@@ -6,6 +6,8 @@ with a partner has a prefix of n - a + 1 tokens, and one of n - a + 2 in which p
 two. So it suffices to index single rare tokens of the first and combinations of two frequent
 tokens of the second. Documents over LONG tokens, whose combinations would outgrow their
 texts, index their frequent tokens alone (around LONG both ways, so that no pair falls between).
+Their prefixes go on for one token in SPARE, so partners share that many tokens more, and a document
+that meets others on fewer keys has no partner: most that share a phrase by chance go so, before any text moves.
 
 Which tokens are frequent is counted over all documents: each batch reports the tokens in
 more than one of FREQUENT of its documents. The class only steers the cost. It holds at most
@@ -22,8 +24,9 @@ MAX_FREQUENT tokens, so it can be broadcast.
    leaves is a spanning forest of the links; connected components name the documents.
 3. Second round. Buckets whose documents have different names are gone through again, with
    finer counts; rows with a partner of another name, that no first round compared them with, get
-   their tokens, are verified, and again only a forest leaves. So no link between components is
-   lost, and nothing lists the pairs within a group.
+   their tokens, are verified, and again only a forest leaves. Buckets with at most FEW such rows give
+   their pairs instead, each of which is then looked at once; only rows of larger ones carry their lesser
+   keys, for that. So no link between components is lost, and nothing lists the pairs within a large group.
 
 A bucket of over BLOCK rows is cut into blocks by a hash of the set. A row that finds no
 partner in its own block is shown to all others; of a large group hardly any is. Sets are
@@ -45,16 +48,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, buckets, masked, ship, sliced, tidy, written
+from .common import bucketed, buckets, masked, release, ship, sliced, tables, tidy, written
 from .components import components
 from .hashing import U, by_key, mix, shingles, signed
 
 FREQUENT = 512
 MAX_FREQUENT = 1 << 18
 LONG = 128
+SPARE = 32
+FEW = 16
 BLOCK = 4096
 TOKENS = 1 << 21  # tokens of the sets that are verified together
 BINS = 32
@@ -164,6 +169,16 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def enough(found: DataFrame, percent: int) -> DataFrame:
+    """Those rows of the index that a partner was found for whose set has so many of them as it must share with a
+    partner. A partner of n tokens has needed(n) at least; where that is over LONG, both have prefixes of single
+    tokens, as far on as SPARE says for the lesser one."""
+    a = F.ceil(F.col("n") * percent / 100)
+    least = F.when(a > LONG, 1 + F.floor(a / SPARE)).otherwise(1)
+    met = found.groupBy("digest", "n").agg(F.count_distinct("key").alias("met")).where(F.col("met") >= least)
+    return found.join(met.select("digest"), "digest", "left_semi")
+
+
 ENTRY = "key long, base long, blocks int, digest long"
 INDEX = "key long, base long, blocks int, doc long, digest long, n long, s0 long, s1 long"
 
@@ -174,7 +189,7 @@ def _in_block(base: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 @tidy
-def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequent: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, long: int, frequent: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of the index, see ENTRY; base is the key of a bucket that is cut into blocks, else null.
     frequent is sorted; shares: blocks of each."""
     for batch in sliced(batches, ROWS):
@@ -184,18 +199,18 @@ def index_batches(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequ
         for i in rows:
             s = sets[i]
             n = len(s)
-            p = n - needed(n, percent) + 1
+            p = n - needed(n, percent) + 1 + (n // SPARE if n > long else 0)
             at = np.searchsorted(frequent, s)
             often = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == s) if len(frequent) else np.zeros(n, dtype=bool)
             rare = s[~often][:p]
             own, cut = [rare], [np.ones(len(rare), dtype=np.int64)]
             if len(rare) < p + 1:
                 rest, b = s[often][: p + 1 - len(rare)], shares[at[often][: p + 1 - len(rare)]]
-                if n <= LONG and len(rest) > 1:
+                if n <= long and len(rest) > 1:
                     x, y = np.triu_indices(len(rest), 1)
                     own.append(mix(rest[x] * U(3) + rest[y]))
                     cut.append(np.minimum(b[x], b[y]))
-                if 100 * n > percent * LONG:
+                if 100 * n > percent * long:
                     own.append(mix(rest ^ U(0x5851F42D4C957F2D)))
                     cut.append(b)
             keys.append(np.concatenate(own))
@@ -451,6 +466,32 @@ def _first_round(found: DataFrame, texts: DataFrame, k: int, percent: int, commo
     return _verified(rows, texts, k, percent, common), rooms
 
 
+@tidy
+def close_batches(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their sketches those whose finer counts leave a link possible, without the sketches."""
+    for batch in sliced(batches, ROWS):
+        names = [c for c in batch.schema.names if not c.endswith("_sketch")]
+        a, b = (_unpacked(np.frombuffer(b"".join(batch.column(f"{s}_sketch").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, SKETCH), dtype=np.uint8) for s in "ab")
+        size = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+        yield batch.select(names).filter(pa.array(_gap(a, b) * (100 + percent) <= size * (100 - percent)))
+
+
+def _close_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """place, doc, digest, n, name, room of pairs of rows of a key, of different names and rooms, that finer counts leave
+    possible: each pair once, those of one row in places of some FEW."""
+    own = ("doc", "digest", "n", "name", "room")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in own]) for s in "ab")
+    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("a_name") != F.col("b_name")) & (F.col("a_room") != F.col("b_room"))
+    pairs = a.join(b, "key").where((F.col("a_digest") < F.col("b_digest")) & near).drop("key").distinct()
+    for s in "ab":
+        pairs = pairs.join(sketches.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc", "digest", "sketch")]), [f"{s}_doc", f"{s}_digest"])
+    names = [f"{s}_{c}" for s in "ab" for c in own]
+    pairs = pairs.select(*names, "a_sketch", "b_sketch").mapInArrow(lambda x: close_batches(x, percent), ", ".join(f"{c} long" for c in names))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("a_digest")) / FEW)
+    pairs = pairs.withColumn("place", F.xxhash64("a_digest", F.pmod(F.xxhash64("b_digest"), parts)))
+    return written(pairs.select("place", F.explode(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in own]) for s in "ab"])).alias("row")).select("place", "row.*").distinct())
+
+
 def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int, common: bytes) -> DataFrame:
     """Links between documents of different names in buckets that hold such."""
     rows = found.drop("name", "room").join(named, ["doc", "digest"])
@@ -459,6 +500,10 @@ def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts
     rows = rows.join(mixed, "key").withColumn("asks", F.col("name") != F.col("major"))
     rows = rows.withColumns({"base": F.lit(None).cast("long"), "blocks": F.lit(1), "guest": F.lit(False), "partner": F.lit(False)}).select(*COLUMNS)
     left = with_partners(rows, percent).drop("s0", "s1")
+    sizes = left.groupBy("key").agg(F.count("*").alias("rows"))
+    left = written(left.join(sizes, "key"))
+    links = _verified(_close_pairs(left.where(F.col("rows") <= FEW), sketches, percent), texts, k, percent, common)
+    left = left.where(F.col("rows") > FEW).drop("rows")
     # Of a bucket in parts, rows of its commonest name go to one, the others to all.
     names = left.groupBy("key", "name").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     size = names.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.max_by("name", "rows").alias("major")).select("key", _parts("rows", "tokens").alias("parts"), "major")
@@ -469,7 +514,7 @@ def _second_round(found: DataFrame, named: DataFrame, sketches: DataFrame, texts
     left = left.select(F.xxhash64("key", "to").alias("place"), *SHOWN[1:])
     dealt = left.repartition(F.col("place")).sortWithinPartitions("place", "n")
     shown = "place long, doc long, digest long, n long, name long, room long"
-    return _verified(written(dealt.mapInArrow(lambda b: nearer_batches(b, percent), shown)), texts, k, percent, common)
+    return links.unionByName(_verified(written(dealt.mapInArrow(lambda b: nearer_batches(b, percent), shown)), texts, k, percent, common))
 
 
 def frequent_class(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -495,10 +540,15 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = spark.sparkContext.broadcast(frequent_class(every))  # at most MAX_FREQUENT tokens
     nodes = every.where("token IS NULL").select("doc_id", "n", "digest")
 
-    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, *shared.value), ENTRY)
+    long = LONG
+    index = texts.mapInArrow(lambda b: index_batches(b, k, percent, long, *shared.value), ENTRY)
     index = index.repartition(F.col("key")).sortWithinPartitions("key", "digest").mapInArrow(met_batches, ENTRY)
     sets = every.where("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("short").alias("digest")).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "s0", "s1")])
+    before = tables()
     found = with_partners(index.join(sets, "digest").select(*[c.split()[0] for c in INDEX.split(", ")]), percent)
+    passed = tables() - before
+    found = written(enough(found, percent))
+    release(passed)
     common = common_parts(texts)
     # Texts move once; what follows reads those of documents that have a partner, by document.
     held = texts.where("doc_id IS NOT NULL").mapInArrow(lambda b: pack_batches(b, common), "doc long, text binary")

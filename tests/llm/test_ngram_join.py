@@ -63,6 +63,32 @@ def test_empty(spark):
     assert [tuple(r) for r in N.keep_one(clash).collect()] == [(1, "a b", 3, "x")]
 
 
+@pytest.mark.parametrize("few", [1, 16])
+def test_long_documents_with_chance_phrases(spark, monkeypatch, few):
+    """Long documents about the threshold apart, families that overlap, and phrases that strangers share."""
+    for name, value in (("FREQUENT", 16), ("LONG", 40), ("FEW", few)):
+        monkeypatch.setattr(N, name, value)
+    r = random.Random(12)
+    text = lambda m: [f"w{r.randrange(5000)}" for _ in range(m)]
+    base, phrase, rows = [text(r.randint(60, 400)) for _ in range(12)], text(7), []
+    for i in range(110):
+        w = list(r.choice(base)) if i % 3 else text(r.randint(60, 400)) + phrase
+        for _ in range(r.randint(0, max(1, len(w) // 12)) // 3):
+            w[r.randrange(len(w))] = f"w{r.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in N.join(docs, 2, 80).collect())
+    assert got == brute(rows, 2, 80)
+
+
+def test_long_sets_that_meet_on_few_keys_have_no_partner(spark):
+    least = 1 + N.needed(1000, 80) // N.SPARE
+    rows = [(k, 1, 1000) for k in range(least - 1)] + [(k, 2, 1000) for k in range(least)] + [(0, 3, 160), (1, 4, 161)]
+    found = spark.createDataFrame([*rows, rows[0]], "key long, digest long, n long")
+    assert {r.digest for r in N.enough(found, 80).collect()} == {2, 3}
+    assert N.enough(found, 80).count() == least + 1
+
+
 def test_large_buckets_and_groups(spark, monkeypatch):
     """One group of near copies holds a third of all rows; buckets, homes and verified parts are cut small."""
     for name, value in (("FREQUENT", 4), ("LONG", 40), ("BLOCK", 8), ("TOKENS", 300), ("ROWS", 60)):
