@@ -9,6 +9,7 @@ each piece.
 
 Everything but the reading of WKB is Spark expressions. `size` is the width of strips and cells: work in one of them
 grows with the square of what lies in it, so it should hold tens of segments. Results do not depend on it.
+Joins are asked to merge: Spark would estimate the rows of shapes by the compressed column of keys that they are made from, and broadcast them all.
 Shapes without area, and null or empty ones, have no trapezoids.
 """
 
@@ -73,12 +74,12 @@ def trapezoids(shapes: DataFrame, size: float, key: str = "id") -> DataFrame:
     other = s.select(key, "strip", *[F.col(c).alias(f"o_{c}") for c in ("n", "ax", "ay", "bx", "by", "lx", "rx")])
     left, right = F.greatest("lx", "o_lx"), F.least("rx", "o_rx")
     flat = (F.least("ay", "by") <= F.greatest("o_ay", "o_by")) & (F.least("o_ay", "o_by") <= F.greatest("ay", "by"))
-    met = s.join(other, [key, "strip"]).where((F.col("n") < F.col("o_n")) & (left < right) & flat)
+    met = s.join(other.hint("merge"), [key, "strip"]).where((F.col("n") < F.col("o_n")) & (left < right) & flat)
     met = met.select(key, "strip", left.alias("l"), right.alias("r"), (_on(left) - _on(left, "o_")).alias("d0"), (_on(right) - _on(right, "o_")).alias("d1"))
     met = met.where("d0 * d1 < 0").select(key, "strip", (F.col("l") + (F.col("r") - F.col("l")) * (F.col("d0") / (F.col("d0") - F.col("d1")))).alias("x"))
     cuts = s.select(key, "strip", F.explode(F.array("lx", "rx")).alias("x")).unionByName(met)
     slab = _slabs(cuts, key, "strip")
-    lines = s.join(slab, [key, "strip"]).where("lx <= x0 AND rx >= x1").select(key, "strip", "x0", "x1", "n", _on(F.col("x0")).alias("y0"), _on(F.col("x1")).alias("y1"))
+    lines = s.join(slab.hint("merge"), [key, "strip"]).where("lx <= x0 AND rx >= x1").select(key, "strip", "x0", "x1", "n", _on(F.col("x0")).alias("y0"), _on(F.col("x1")).alias("y1"))
     up = Window.partitionBy(key, "strip", "x0").orderBy(F.col("y0") + F.col("y1"), "n")
     lines = lines.withColumns({"place": F.row_number().over(up), "t0": F.lead("y0").over(up), "t1": F.lead("y1").over(up)})
     inside = lines.where("place % 2 = 1 AND (t0 > y0 OR t1 > y1)")
@@ -129,7 +130,7 @@ def intersections(a: DataFrame, b: DataFrame, size: float, a_key: str = "id", b_
     ga, gb = (g.select("cx", "cy", *[F.col(c).alias(f"{s}_{c}") for c in names]) for s, g in (("a", ga), ("p", gb)))
     once = (F.col("cx") == F.greatest("a_cx0", "p_cx0")) & (F.col("cy") == F.greatest("a_cy0", "p_cy0"))
     boxes = (F.col("a_x0") < F.col("p_x1")) & (F.col("p_x0") < F.col("a_x1")) & (F.col("a_low") < F.col("p_high")) & (F.col("p_low") < F.col("a_high"))
-    pairs = ga.join(gb, ["cx", "cy"]).where(once & boxes)
+    pairs = ga.join(gb.hint("merge"), ["cx", "cy"]).where(once & boxes)
     pairs = pairs.where("a_key < p_key") if ordered else pairs
     return _meet(pairs.withColumns({"a": F.col("a_key"), "b": F.col("p_key")}), ["a", "b"])
 
@@ -157,11 +158,11 @@ def depths(traps: DataFrame, size: float, *group: str) -> DataFrame:
     line = cut.select(*cell, "x0", "x1", F.explode(F.array(F.struct(F.col("b0").alias("y0"), F.col("b1").alias("y1"), F.lit(1).alias("step")), F.struct(F.col("t0").alias("y0"), F.col("t1").alias("y1"), F.lit(-1).alias("step")))).alias("e")).select(*cell, F.col("x0").alias("ax"), F.col("x1").alias("bx"), F.col("e.y0").alias("ay"), F.col("e.y1").alias("by"), "e.step")
     other = line.select(*cell, *[F.col(c).alias(f"o_{c}") for c in ("ax", "ay", "bx", "by")]).distinct()
     left, right = F.greatest("ax", "o_ax"), F.least("bx", "o_bx")
-    met = line.drop("step").distinct().join(other, cell).where((left < right) & (F.least("ay", "by") < F.greatest("o_ay", "o_by")) & (F.least("o_ay", "o_by") < F.greatest("ay", "by")))
+    met = line.drop("step").distinct().join(other.hint("merge"), cell).where((left < right) & (F.least("ay", "by") < F.greatest("o_ay", "o_by")) & (F.least("o_ay", "o_by") < F.greatest("ay", "by")))
     met = met.select(*cell, left.alias("l"), right.alias("r"), (_on(left) - _on(left, "o_")).alias("d0"), (_on(right) - _on(right, "o_")).alias("d1"))
     met = met.where("d0 * d1 < 0").select(*cell, (F.col("l") + (F.col("r") - F.col("l")) * (F.col("d0") / (F.col("d0") - F.col("d1")))).alias("x"))
     slab = _slabs(line.select(*cell, F.explode(F.array("ax", "bx")).alias("x")).unionByName(met), *cell)
-    events = line.join(slab, cell).where("ax <= x0 AND bx >= x1").select(*cell, "x0", "x1", _on(F.col("x0")).alias("b0"), _on(F.col("x1")).alias("b1"), "step")
+    events = line.join(slab.hint("merge"), cell).where("ax <= x0 AND bx >= x1").select(*cell, "x0", "x1", _on(F.col("x0")).alias("b0"), _on(F.col("x1")).alias("b1"), "step")
     up = Window.partitionBy(*cell, "x0").orderBy(F.col("b0") + F.col("b1"), F.desc("step"))
     pieces = events.withColumns({"depth": F.sum("step").over(up.rowsBetween(Window.unboundedPreceding, 0)), "t0": F.lead("b0").over(up), "t1": F.lead("b1").over(up)})
     return pieces.where("depth > 0 AND (t0 > b0 OR t1 > b1)").select(*group, *SIDES, "depth")

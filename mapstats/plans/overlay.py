@@ -122,7 +122,7 @@ def geo_04_differences(v):
     traps = O.trapezoids(shapes(v), CELL)
     size = traps.groupBy("id").agg(O.area().alias("area"))
     common = O.intersections(traps, traps, CELL, ordered=True).groupBy("a", "b").agg(O.area().alias("common")).where("common > 1e-9")
-    both = common.join(size.select(F.col("id").alias("a"), F.col("area").alias("x")), "a").join(size.select(F.col("id").alias("b"), F.col("area").alias("y")), "b")
+    both = common.join(size.select(F.col("id").alias("a"), F.col("area").alias("x")).hint("merge"), "a").join(size.select(F.col("id").alias("b"), F.col("area").alias("y")).hint("merge"), "b")
     r = lambda c, n: F.round(c, 9).alias(n)
     return both.select("a", "b", r(F.col("common"), "common"), r(F.col("x") - F.col("common"), "only_a"), r(F.col("y") - F.col("common"), "only_b"), r(F.col("x") + F.col("y") - 2 * F.col("common"), "either"))
 
@@ -137,10 +137,10 @@ def geo_04_differences(v):
 def geo_05(v):
     """Overlaps, what share of the smaller shape they are, and whether they cross districts."""
     traps = O.trapezoids(shapes(v), CELL)
-    size = traps.groupBy("id").agg(O.area().alias("area")).join(v.plans.where("plan = 'cols'").select(F.col("node").alias("id"), "district"), "id")
+    size = traps.groupBy("id").agg(O.area().alias("area")).join(v.plans.where("plan = 'cols'").select(F.col("node").alias("id"), "district").hint("merge"), "id")
     common = O.intersections(traps, traps, CELL, ordered=True).groupBy("a", "b").agg(O.area().alias("overlap")).where("overlap > 1e-9")
     side = lambda s: size.select(F.col("id").alias(s), F.col("area").alias(f"{s}_area"), F.col("district").alias(f"{s}_district"))
-    both = common.join(side("a"), "a").join(side("b"), "b")
+    both = common.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return both.select("a", "b", F.round("overlap", 9).alias("overlap"), F.round(100 * F.col("overlap") / F.least("a_area", "b_area"), 6).alias("smaller_percent"), (F.col("a_district") != F.col("b_district")).alias("crosses"))
 
 

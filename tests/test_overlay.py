@@ -135,3 +135,12 @@ def test_repairs(spark):
     row = {r.id: r for r in G.repairs(df, types=both, most_displaced=2.0).collect()}
     assert (row[2].parts, row[2].area_after, row[2].displacement) == (2, 2.0, 0.0) and row[3].area_after == 9 and row[3].displacement == 2
     assert G.fault(G.parts_of(row[2].repaired)) is None and row[5].repaired is None
+
+
+def test_no_table_of_shapes_is_broadcast(spark):
+    """Spark estimates shapes by the column of keys that they are made from, which is small even where they are not."""
+    from mapstats.plans.catalog import QUERIES
+
+    for name in ("j_16_overlay", "geo_04_differences", "geo_05_overlaps"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
