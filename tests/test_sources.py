@@ -143,3 +143,20 @@ def test_boxes_are_those_of_measures(spark):
     multi = G.wkb_multi([[[(0.0, 0.0), (2.0, 0.0), (1.0, 3.0)]], [[(5.0, 5.0), (6.0, 5.0), (6.0, 7.0)], [(5.1, 5.1), (5.2, 5.1), (5.2, 5.2)]]])
     shapes = spark.createDataFrame([(1, bytearray(multi)), (2, None), (3, bytearray(G.wkb_polygon([[(1.0, 1.0), (2.0, 1.0), (2.0, 4.0)]])))], "id long, wkb binary")
     assert sorted(map(tuple, G.boxed(shapes).select("id", *names).collect())) == sorted(map(tuple, G.measures(shapes).select("id", *names).collect()))
+
+
+def test_neighbours_work_on_many_pairs_at_once(spark, monkeypatch):
+    """Boxes that only touch are not clipped, single rings not compared one by one; a holed one still is. The same figures either way."""
+    ring = lambda *p: [*p, p[0]]
+    one = {k: [ring((k % 4, k // 4), (k % 4 + 1, k // 4), (k % 4 + 1, k // 4 + 1), (k % 4, k // 4 + 1))] for k in range(12)}
+    one[12] = [ring((0.5, 0.25), (2.5, 0.25), (1.0, 2.0))]
+    one[13] = [*one[5], ring((1.25, 1.25), (1.75, 1.25), (1.75, 1.75), (1.25, 1.75))]
+    points = {k: [[(float(x), float(y)) for x, y in r] for r in rings] for k, rings in one.items()}
+    shapes = spark.createDataFrame([(k, bytearray(G.wkb_polygon(r))) for k, r in points.items()], "id long, wkb binary")
+    got = {(r.a, r.b): (r.overlap, r.shared) for r in G.neighbours(shapes, 2.0).collect()}
+    assert {k for k in got if max(k) < 12} == {(i, j) for i in range(12) for j in range(i + 1, 12) if abs(i % 4 - j % 4) <= 1 and abs(i // 4 - j // 4) <= 1}
+    for (i, j), (over, shared) in got.items():
+        assert over == pytest.approx(G.overlap(points[i], points[j]), abs=1e-12) and shared == pytest.approx(G.shared_boundary(points[i], points[j]), abs=1e-12)
+    plain = [G.wkb_polygon(points[k]) for k in range(12)]
+    monkeypatch.setattr(G, "shared_boundary", lambda *_: pytest.fail("pairs were compared one by one"))
+    assert G._shared(plain[:-1], plain[1:]).tolist() == [float(k % 4 < 3) for k in range(11)]
