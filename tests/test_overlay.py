@@ -144,3 +144,27 @@ def test_no_table_of_shapes_is_broadcast(spark):
     for name in ("j_16_overlay", "geo_04_differences", "geo_05_overlaps"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
+
+
+def test_faults_of_many_shapes_are_those_of_each(spark, monkeypatch):
+    """Single rings are judged many at once, with the reasons that fault gives one by one."""
+    import numpy as np
+
+    from mapstats.plans import overlay as V
+
+    rng = np.random.default_rng(4)
+    rings = [[tuple(p) for p in rng.integers(0, 4, (n, 2)).astype(float).tolist()] for n in rng.integers(3, 7, 400)]
+    rings += [[(0.0, 0.0), (float("nan"), 1.0), (1.0, 1.0)], [(0.0, 0.0), (2.0, 0.0), (1.0, 0.0)], [(0.0, 0.0), (1.0, 0.0)]]
+    rings += [[(x + 1e6, y + 1e6) for x, y in r] for r in rings[:50]]
+    parts = [[[G.closed(r)]] for r in rings]
+    want = [G.fault(p) for p in parts]
+    assert len(set(want)) >= 6
+    blobs = [G.wkb_multi(p) for p in parts]
+    extra = [G.wkb_multi([[G.closed(r) for r in part] for part in kind]) for kind in V.KINDS]
+    rows = [(k, bytearray(w)) for k, w in enumerate(blobs + extra)] + [(-1, None)]
+    got = {r.id: r.fault for r in G.faults(spark.createDataFrame(rows, "id long, wkb binary")).collect()}
+    assert [got[k] for k in range(len(want))] == want and got[-1] == "empty"
+    assert [got[len(want) + k] for k in range(len(extra))] == [G.fault(G.parts_of(w)) for w in extra]
+    monkeypatch.setattr(G, "fault", lambda _: pytest.fail("rings were judged one by one"))
+    for at, p in G.single_rings(blobs):
+        assert G.ring_faults(p) == [want[k] for k in at.tolist()]
