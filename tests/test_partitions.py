@@ -148,3 +148,16 @@ def test_components_of_random_graphs(spark, seed):
     e = spark.createDataFrame(sorted(edges), "src long, dst long")
     got = {(r.plan, r.district): (r.units, r.components) for r in K.district_components(e, spark.createDataFrame(rows, "plan string, node long, district int"), "plan").collect()}
     assert got == want
+
+
+def test_spanning_forest_is_that_of_edges_taken_one_by_one():
+    rng = np.random.default_rng(11)
+    for n, m in ((1, 0), (2, 1), (30, 20), (200, 900)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        up, want = list(range(n)), []
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = next(r for r in range(n) if up[x] == up[r]), next(r for r in range(n) if up[y] == up[r])
+            if up[x] != up[y]:
+                want.append(k)
+                up = [up[y] if u == up[x] else u for u in up]
+        assert G.spanning(n, a, b).tolist() == want
