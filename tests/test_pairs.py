@@ -87,3 +87,35 @@ def test_no_table_of_all_units_of_all_states(spark, monkeypatch, name):
     monkeypatch.setattr(views, "_ASSIGN", {})
     monkeypatch.setattr(views, "materialised", refuse)
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def shuffled(plan):
+    """Rows that the shuffles of a finished plan wrote."""
+    name, own = plan.getClass().getSimpleName(), 0
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    if name == "ShuffleExchangeExec":
+        own = plan.metrics().apply("shuffleRecordsWritten").value()
+    children = plan.children()
+    return own + sum(shuffled(children.apply(k)) for k in range(children.size()))
+
+
+def test_a_task_of_pairs_is_sent_the_units_once(spark, monkeypatch):
+    """Units were sent once a pair of tiles, and the pairs shuffled to meet what is said of their states."""
+    monkeypatch.setattr(A, "TILE", 1)
+    monkeypatch.setattr(A, "CHUNK", 16)
+    monkeypatch.setattr(A, "TASKS", 3, raising=False)
+    units = spark.createDataFrame([(k, k % 7) for k in range(64)], "node long, totpop long")
+    rows, states = saved(spark, 20)
+    starts = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "seed int, start string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a list of states that is large
+    try:
+        pairs = A.all_pairs(units, states, starts, labels, 5, 20)
+        got = pairs.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(got) == 190 and {(r.i, r.j): r.same_start for r in got} == {(a[0], b[0]): a[1] % 2 == b[1] % 2 for a, b in itertools.combinations(rows, 2)}
+    assert shuffled(pairs._jdf.queryExecution().executedPlan()) <= 3 * (4 + 2)
