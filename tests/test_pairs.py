@@ -145,3 +145,17 @@ def test_choices_take_runs_of_labels(spark, monkeypatch):
     got = A.distances_between(units, states, counted, 5, 1, 9).orderBy("i").collect()
     assert got == want and len(got) == 9
     assert seen.value < 9 * len(nodes) / 2
+
+
+@pytest.mark.parametrize(("name", "most"), [("j_09_pairs", 0.3), ("flt_11_long_lag_pairs", 0.5)])
+def test_pairs_of_states_are_written_small(spark, tmp_path, name, most):
+    """Every pair once, in an order that files of columns take in little room."""
+    pairs = QUERIES[name](spark, "/root/testdata/sf0.1")
+    pairs.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    n = rows.count()
+    assert rows.select("i", "j").distinct().count() == n
+    if name == "j_09_pairs":
+        last = rows.agg({"j": "max"}).first()[0]
+        assert n == last * (last - 1) // 2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < most * n
