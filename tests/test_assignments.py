@@ -160,3 +160,26 @@ def test_work_on_saved_states_does_not_grow_with_units_times_states():
 def test_what_needs_no_votes_reads_no_blocks(spark, monkeypatch, name):
     monkeypatch.setattr(views.Views, "blocks", property(lambda _: pytest.fail("blocks were read")))
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 17])
+def test_checkpoints_hold_runs_of_labels(spark, tmp_path, monkeypatch, chunk):
+    """States of long runs are saved by run and come back whole; those of short ones unit by unit."""
+    monkeypatch.setattr(A, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    nodes = sorted(rng.choice(90_000, 60_000, replace=False).tolist()) if chunk > 64 else sorted(rng.choice(600, 300, replace=False).tolist())
+    states = [("x", s, t) for s in (0, 1) for t in (99, 9_999, 199_999)]
+    units = spark.createDataFrame([(n,) for n in nodes], "node long")
+    saved = spark.createDataFrame(states, "experiment string, seed int, step long")
+    path = str(tmp_path / "c")
+    A.checkpoints(units, saved, views.saved_labels).write.partitionBy("experiment", "seed").parquet(path)
+    rows = spark.read.schema(A.CHECKPOINT).parquet(path)
+    got = A.read_checkpoints(rows).collect()
+    n = np.array(nodes)
+    assert {(r.seed, r.step): (r.units, r.nodes, r.labels) for r in got} == {(s, t): (len(n), len(n), int(views.saved_labels(n, s, t).sum())) for _, s, t in states}
+    if chunk > 64:
+        sizes = {(r.seed, r.step): len(r.labels) for r in rows.collect()}
+        assert all(sizes[s, 199_999] < 600 for s in (0, 1))
+        broken = rows.withColumn("labels", rows.nodes).where("step = 199999")
+        with pytest.raises(Exception, match="labels of runs"):
+            A.read_checkpoints(broken).collect()
